@@ -2,10 +2,11 @@
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is cut into
 overlapping windows of a few words; a window's distance is its compressed length under the ordinary
-dictionary less that under the toxic one, in bytes. Toxic documents are mostly ordinary prose, so
-training alternates: the toxic dictionary is trained on the windows of toxic documents that it
-gains most on, until few windows of ordinary documents reach the threshold. A logistic curve over
-the document's window statistics, fitted on other training documents, turns distances into a score.
+dictionary less that under the toxic one, in bytes. Toxic documents are mostly ordinary prose, so the toxic dictionary is
+trained on the words that toxic documents share and ordinary ones hardly use, and both end in the
+same prose and are equally long: ordinary text then compresses alike under both. The threshold comes
+from windows of other ordinary documents; a logistic curve over a document's window statistics,
+fitted on training documents that the dictionaries didn't see, turns distances into a score.
 
 Defined cases: null and empty texts have no windows and get the curve's value there; repeated
 rows each get a row; an empty table gives no rows; without labels of both kinds every score is 0.
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grafloom.llm import _words
 
-WINDOW, STRIDE, LEVEL = 3, 2, 3
-#: Most labelled documents of each label that training reads.
+WINDOW, STRIDE, LEVEL = 8, 4, 6
+#: Most documents labelled 1 that training reads; thrice as many labelled 0.
 SAMPLE = 1500
 # Fixed value: a trained dictionary's three repeat offsets, which end its header.
 _REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
@@ -84,7 +85,20 @@ def _dictionary(samples: list[bytes], size: int = 1 << 15) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:] or b" " * 8
 
 
-def _document_frequency(texts: list[bytes], row: np.ndarray, use: np.ndarray) -> dict[bytes, int]:
+def _fresh(texts: list[str]) -> list[str]:
+    """The texts without those of which over a third of the five-word runs stand in earlier ones: copies would pass for evidence."""
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        ws = t.split()
+        runs = {hash(tuple(ws[i : i + 5])) for i in range(max(1, len(ws) - 4))}
+        if 3 * len(runs & seen) <= len(runs):
+            out.append(t)
+        seen |= runs
+    return out
+
+
+def _uses(texts: list[bytes], row: np.ndarray, use: np.ndarray) -> dict[bytes, int]:
     """In how many of the used rows each word occurs."""
     rows: dict[bytes, set[int]] = {}
     for t, r, k in zip(texts, row.tolist(), use.tolist(), strict=True):
@@ -128,6 +142,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     """Learn from the texts of toxic and of ordinary documents."""
     if len(toxic) < 2 or len(ordinary) < 2:
         return None
+    toxic, ordinary = _fresh(toxic), _fresh(ordinary)
     cols = [_words.buffers(pa.array(x)) for x in (toxic, ordinary)]
     wins = [_windows(*c) for c in cols]
     cols = [(_words.lower(raw), offs) for raw, offs in cols]
@@ -136,16 +151,19 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     learn = [w[2] % 2 == 1 for w in wins]
     sample = [t for t, k in zip(texts[1], learn[1], strict=True) if k]
     prose = _dictionary(sample[:: max(1, len(sample) // 60_000)])
-    use = [_document_frequency(t, w[2], k) for t, w, k in zip(texts, wins, learn, strict=True)]
+    use = [_uses(t, w[2], k) for t, w, k in zip(texts, wins, learn, strict=True)]
     docs = [max(1, len(set(w[2][k].tolist()))) for w, k in zip(wins, learn, strict=True)]
     # the toxic side is trained on the words that toxic documents share and ordinary ones hardly use
-    lift = {w: n / docs[0] / ((use[1].get(w, 0) + 0.5) / docs[1]) for w, n in use[0].items() if len(w) > 3 and n >= max(2, 0.03 * docs[0])}
-    marked = {w for w in sorted(lift, key=lambda w: (-use[0][w], w)) if lift[w] >= 8}
+    expect = {w: (use[1].get(w, 0) + 0.5) * docs[0] / docs[1] for w in use[0]}
+    marked = {w for w, n in use[0].items() if len(w) > 3 and n >= 3 and n - expect[w] >= 4 * np.sqrt(expect[w] + 1)}
     seeds = [b" " + w for t, k in zip(texts[0], learn[0], strict=True) if k for x in t.split() if (w := x.strip(_EDGE)) in marked]
-    trained = _dictionary(seeds, 1 << 12) if seeds else b" "
+    trained = _dictionary(seeds, 1 << 13) if seeds else b" "
     # the trainer may leave out short words; the toxic side ends in the same prose, so ordinary text costs both the same
     toxic_dict = trained + b"".join(b" " + w for w in sorted(marked) if w not in trained) + b" " + prose
-    toxic_by, ordinary_by = _compressor(toxic_dict), _compressor(prose)
+    # bytes that no UTF-8 text holds keep both dictionaries as long, so that they differ in the toxic words alone
+    filler = np.random.default_rng(3).integers(0xF8, 0x100, len(toxic_dict) - len(prose), dtype=np.uint8).tobytes()
+    ordinary_dict = filler + prose
+    toxic_by, ordinary_by = _compressor(toxic_dict), _compressor(ordinary_dict)
     gains = [_gains(c[0], w[0], w[1], toxic_by, ordinary_by) for c, w in zip(cols, wins, strict=True)]
     clean = gains[1][~learn[1]]
     cut = max(1.0, float(np.quantile(clean, 0.9995))) + 1 if len(clean) else 3.0
@@ -155,7 +173,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
         x.append(stats[::2])
         y.append(np.full(len(stats[::2]), 1.0 - k))
     weights, bias = _logistic(np.concatenate(x), np.concatenate(y))
-    return Model(toxic_dict, prose, weights, bias, cut)
+    return Model(toxic_dict, ordinary_dict, weights, bias, cut)
 
 
 def score_texts(texts: pa.Array, model: Model | None, by: tuple | None = None) -> np.ndarray:
@@ -182,14 +200,14 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, held_out: int = 0) -> tuple[list[str], list[str]]:
-    """At most ``sample`` texts of label 1 and of label 0, chosen by a hash of doc_id, none of them held out.
+    """At most ``sample`` texts of label 1 and thrice as many of label 0, chosen by a hash of doc_id, none of them held out.
 
     The ids of the sample are bounded, so they may be broadcast; the texts are read in one scan.
     """
     rows = labels.select("doc_id", F.col(label).alias("label")).filter(F.col("label").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != held_out))
     picked = None
-    for v in (0, 1):
-        part = rows.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    for v, n in ((0, 3 * sample), (1, sample)):
+        part = rows.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
     got = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "label", "text").toPandas().sort_values(["doc_id", "label", "text"])
     return list(got.text[got.label == 1]), list(got.text[got.label == 0])
