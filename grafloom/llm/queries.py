@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grafloom.llm.quality import op2_quality
 from grafloom.llm.secret_scan import op9_secret_scan
 from grafloom.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
         "op3_toxicity": op3_toxicity,
         "op9_secret_scan": op9_secret_scan,
     }
