@@ -15,6 +15,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from grafloom.llm import _words
 
 WINDOW, STRIDE, LEVEL = 8, 4, 6
-#: Most documents labelled 1 that training reads; thrice as many labelled 0.
-SAMPLE = 1500
+#: Most documents labelled 1 that training reads; twice as many labelled 0.
+SAMPLE = 1000
 # Fixed value: a trained dictionary's three repeat offsets, which end its header.
 _REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
-_EDGE = b".,!?;:*#$%&|\"'()"
+_EDGE = ".,!?;:*#$%&|\"'()"
 
 
 @dataclass
@@ -98,14 +99,20 @@ def _fresh(texts: list[str]) -> list[str]:
     return out
 
 
-def _uses(texts: list[bytes], row: np.ndarray, use: np.ndarray) -> dict[bytes, int]:
-    """In how many of the used rows each word occurs."""
-    rows: dict[bytes, set[int]] = {}
-    for t, r, k in zip(texts, row.tolist(), use.tolist(), strict=True):
-        if k:
-            for w in t.split():
-                rows.setdefault(w.strip(_EDGE), set()).add(r)
-    return {w: len(r) for w, r in rows.items()}
+def _samples(texts: list[str], most: int = 30_000) -> list[bytes]:
+    """The texts' windows, thinned evenly to about ``most``."""
+    raw, offs = _words.buffers(pa.array(texts, pa.string()))
+    start, end, _ = _windows(raw, offs)
+    raw, every = _words.lower(raw), max(1, len(start) // most)
+    return [raw[s:e].tobytes() for s, e in zip(start[::every], end[::every], strict=True)]
+
+
+def _uses(texts: list[str]) -> Counter[str]:
+    """In how many texts each word occurs."""
+    n: Counter[str] = Counter()
+    for t in texts:
+        n.update({w.strip(_EDGE) for w in t.lower().split()})
+    return n
 
 
 def _gains(raw: np.ndarray, start: np.ndarray, end: np.ndarray, toxic: zstd.ZstdCompressor, ordinary: zstd.ZstdCompressor) -> np.ndarray:
@@ -138,41 +145,40 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """Learn from the texts of toxic and of ordinary documents."""
+def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model | None:
+    """Learn from the texts of toxic and of ordinary documents; ``share``: of toxic documents where the model is used, if not as here."""
     if len(toxic) < 2 or len(ordinary) < 2:
         return None
     toxic, ordinary = _fresh(toxic), _fresh(ordinary)
-    cols = [_words.buffers(pa.array(x)) for x in (toxic, ordinary)]
-    wins = [_windows(*c) for c in cols]
-    cols = [(_words.lower(raw), offs) for raw, offs in cols]
-    texts = [[bytes(c[0][s:e]) for s, e in zip(w[0], w[1], strict=True)] for c, w in zip(cols, wins, strict=True)]
     # odd rows train the dictionaries, even rows set the threshold and the curve
-    learn = [w[2] % 2 == 1 for w in wins]
-    sample = [t for t, k in zip(texts[1], learn[1], strict=True) if k]
-    prose = _dictionary(sample[:: max(1, len(sample) // 60_000)])
-    use = [_uses(t, w[2], k) for t, w, k in zip(texts, wins, learn, strict=True)]
-    docs = [max(1, len(set(w[2][k].tolist()))) for w, k in zip(wins, learn, strict=True)]
+    use, docs = [_uses(x[1::2]) for x in (toxic, ordinary)], [max(1, len(x[1::2])) for x in (toxic, ordinary)]
     # the toxic side is trained on the words that toxic documents share and ordinary ones hardly use
-    expect = {w: (use[1].get(w, 0) + 0.5) * docs[0] / docs[1] for w in use[0]}
-    marked = {w for w, n in use[0].items() if len(w) > 3 and n >= 3 and n - expect[w] >= 4 * np.sqrt(expect[w] + 1)}
-    seeds = [b" " + w for t, k in zip(texts[0], learn[0], strict=True) if k for x in t.split() if (w := x.strip(_EDGE)) in marked]
+    marked = set()
+    for w, n in use[0].items():
+        expect = (use[1].get(w, 0) + 0.5) * docs[0] / docs[1]
+        if len(w) > 3 and n >= 3 and n - expect >= 4 * np.sqrt(expect + 1):
+            marked.add(w)
+    seeds = [b" " + w.encode() for t in toxic[1::2] for x in t.lower().split() if (w := x.strip(_EDGE)) in marked]
+    del use
+    prose = _dictionary(_samples(ordinary[1::2]))
     trained = _dictionary(seeds, 1 << 13) if seeds else b" "
     # the trainer may leave out short words; the toxic side ends in the same prose, so ordinary text costs both the same
-    toxic_dict = trained + b"".join(b" " + w for w in sorted(marked) if w not in trained) + b" " + prose
+    toxic_dict = trained + b"".join(b" " + w.encode() for w in sorted(marked) if w.encode() not in trained) + b" " + prose
     # bytes that no UTF-8 text holds keep both dictionaries as long, so that they differ in the toxic words alone
     filler = np.random.default_rng(3).integers(0xF8, 0x100, len(toxic_dict) - len(prose), dtype=np.uint8).tobytes()
     ordinary_dict = filler + prose
     toxic_by, ordinary_by = _compressor(toxic_dict), _compressor(ordinary_dict)
-    gains = [_gains(c[0], w[0], w[1], toxic_by, ordinary_by) for c, w in zip(cols, wins, strict=True)]
-    clean = gains[1][~learn[1]]
-    cut = max(1.0, float(np.quantile(clean, 0.9995))) + 1 if len(clean) else 3.0
-    x, y = [], []
-    for k, (c, w, g) in enumerate(zip(cols, wins, gains, strict=True)):
-        stats = _statistics(g, w[2], len(c[1]) - 1, cut)
-        x.append(stats[::2])
-        y.append(np.full(len(stats[::2]), 1.0 - k))
+    found = []
+    for texts in (toxic[::2], ordinary[::2]):
+        raw, offs = _words.buffers(pa.array(texts, pa.string()))
+        start, end, row = _windows(raw, offs)
+        found.append((_gains(_words.lower(raw), start, end, toxic_by, ordinary_by), row, len(texts)))
+    cut = max(1.0, float(np.quantile(found[1][0], 0.9995))) + 1 if len(found[1][0]) else 3.0
+    x = [_statistics(g, row, n, cut) for g, row, n in found]
+    y = [np.full(len(s), 1.0 - k) for k, s in enumerate(x)]
     weights, bias = _logistic(np.concatenate(x), np.concatenate(y))
+    if share and 0 < share < 1:
+        bias += float(np.log(share / (1 - share)) - np.log(len(x[0]) / max(1, len(x[1]))))
     return Model(toxic_dict, ordinary_dict, weights, bias, cut)
 
 
@@ -200,13 +206,13 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, held_out: int = 0) -> tuple[list[str], list[str]]:
-    """At most ``sample`` texts of label 1 and thrice as many of label 0, chosen by a hash of doc_id, none of them held out.
+    """At most ``sample`` texts of label 1 and twice as many of label 0, chosen by a hash of doc_id, none of them held out.
 
     The ids of the sample are bounded, so they may be broadcast; the texts are read in one scan.
     """
     rows = labels.select("doc_id", F.col(label).alias("label")).filter(F.col("label").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != held_out))
     picked = None
-    for v, n in ((0, 3 * sample), (1, sample)):
+    for v, n in ((0, 2 * sample), (1, sample)):
         part = rows.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
     got = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "label", "text").toPandas().sort_values(["doc_id", "label", "text"])
@@ -217,8 +223,14 @@ def held_out(column: str = "doc_id", modulus: int = 5, rest: int = 0) -> "F.Colu
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == rest, F.lit(False))
 
 
+def label_share(labels: DataFrame, label: str) -> float | None:
+    """The share of label 1 among the labels that may be learned from."""
+    rows = labels.filter(F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    return rows.agg(F.avg(label)).first()[0]
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document; labels of held-out documents are never read."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(*training_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic"))
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit(*training_texts(docs, labels, "toxic"), label_share(labels, "toxic"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
