@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from grafloom.llm.language import op8_language
+from grafloom.llm.language_model import op10_lm_score
 from grafloom.llm.packing import op6_packing
 from grafloom.llm.quality import op2_quality
 from grafloom.llm.secret_scan import op9_secret_scan
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op8_language": op8_language,
         "op9_secret_scan": op9_secret_scan,
+        "op10_lm_score": op10_lm_score,
     }
 
 
