@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grafloom.llm.language import op8_language
 from grafloom.llm.language_model import op10_lm_score
+from grafloom.llm.mixing import op1_mixing
 from grafloom.llm.packing import op6_packing
 from grafloom.llm.quality import op2_quality
 from grafloom.llm.secret_scan import op9_secret_scan
@@ -16,6 +17,7 @@ from grafloom.llm.toxicity import op3_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_quality": op2_quality,
         "op3_toxicity": op3_toxicity,
         "op6_packing": op6_packing,
