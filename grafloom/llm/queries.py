@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grafloom.llm.embedding_dedup import op7_embedding_dedup
 from grafloom.llm.language import op8_language
 from grafloom.llm.language_model import op10_lm_score
 from grafloom.llm.mixing import op1_mixing
+from grafloom.llm.neighbours import op4_neighbours
 from grafloom.llm.packing import op6_packing
 from grafloom.llm.quality import op2_quality
 from grafloom.llm.secret_scan import op9_secret_scan
@@ -20,7 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_quality": op2_quality,
         "op3_toxicity": op3_toxicity,
+        "op4_neighbours": op4_neighbours,
         "op6_packing": op6_packing,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_language": op8_language,
         "op9_secret_scan": op9_secret_scan,
         "op10_lm_score": op10_lm_score,
