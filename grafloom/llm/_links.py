@@ -27,7 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("n"), "m").filter(F.col("n") != F.col("m")).toDF("u", "v").union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = _store.table(small, "links")
-        state = edges.agg(F.count("*"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first()
         if state == seen:
             break
         seen = state

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from grafloom.llm.embedding_dedup import op7_embedding_dedup
+from grafloom.llm.jaccard import op5_jaccard_join
 from grafloom.llm.language import op8_language
 from grafloom.llm.language_model import op10_lm_score
 from grafloom.llm.mixing import op1_mixing
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_toxicity": op3_toxicity,
         "op4_neighbours": op4_neighbours,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_packing": op6_packing,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_language": op8_language,
