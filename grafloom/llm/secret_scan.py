@@ -94,28 +94,6 @@ def findings(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSIO
     return paths(docs, path, text).join(known, "blob").select(F.col("path").alias(path), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span found replaced by ``mask`` (overlapping spans by one), all rows and columns kept."""
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for x in b.column("text"):
-                text = x.as_py()
-                if text and (spans := find_spans(text)):
-                    parts, at = [], 0
-                    for start, _, end in spans:
-                        if start >= at:
-                            parts += [text[at:start], mask]
-                        at = max(at, end)
-                    text = "".join(parts) + text[at:]
-                texts.append(text)
-            i = b.schema.get_field_index("text")
-            yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
-
-    return docs.mapInArrow(one, docs.schema)
-
-
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document, through a ledger that starts empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
