@@ -148,12 +148,12 @@ def edge_combined_degree(spark, d):
     return graph.combined_degree(e, graph.degrees(e))
 
 
-@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem),
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_returnflag, l_linestatus) AS n FROM lineitem),
 f AS (SELECT l_partkey, list_reduce(list(l_quantity ORDER BY n), lambda a, x: (a + x) / 2) AS avg_q FROM o GROUP BY 1)
 SELECT l_partkey, round(sum(l_quantity), 4) AS sum_q, max(l_quantity) AS max_q, min(l_quantity) AS min_q, arg_min(l_returnflag, n) AS first_flag, arg_max(l_returnflag, n) AS last_flag,
 string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS statuses, round(any_value(avg_q), 6) AS avg_q FROM o JOIN f USING (l_partkey) GROUP BY 1""")
 def merge_ops(spark, d):
-    rows = table(spark, d, "lineitem").withColumn("ord", F.struct("l_orderkey", "l_linenumber"))
+    rows = table(spark, d, "lineitem").withColumn("ord", F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"))
     m = graph.merge_attribute
     return rows.groupBy("l_partkey").agg(
         F.round(m("sum", "l_quantity", "ord"), 4).alias("sum_q"), m("max", "l_quantity", "ord").alias("max_q"), m("min", "l_quantity", "ord").alias("min_q"), m("skip", "l_returnflag", "ord").alias("first_flag"),
