@@ -69,7 +69,7 @@ def split_list(text: Column | str, separator: str = ",") -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, _literal(separator)))
 
 
-def unpack_list(text: Column | str, separator: str) -> Column:
+def unpack_list(text: Column | str, separator: str = ",") -> Column:
     """As :func:`split_list`, with no items for null."""
     return F.coalesce(split_list(text, separator), F.array().cast("array<string>"))
 

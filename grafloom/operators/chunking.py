@@ -31,7 +31,7 @@ def base_text_units(documents: DataFrame, size: int = 1200, overlap: int = 100,
     before = lambda i: F.aggregate(F.slice("_ends", F.lit(1), i), F.lit(0), lambda m, d: m + d["n"])
     cuts = F.transform("_ends", lambda d, i: F.struct(d["id"].alias("id"), before(i).alias("lo"), (before(i) + d["n"]).alias("hi")))
     rows = streams.withColumn("_cuts", cuts).select(*by, "_cuts", F.explode(token_windows(F.col("_tokens"), size, overlap)).alias("w"))
-    ids = F.transform(F.filter("_cuts", lambda d: (d["lo"] < F.col("w.start") + F.col("w.n_tokens")) & (d["hi"] > F.col("w.start"))), lambda d: d["id"])
+    ids = F.transform(F.filter("_cuts", lambda d: (d["lo"] < F.col("w.start") + F.col("w.n_tokens")) & (d["hi"] > F.col("w.start")) & (d["hi"] > d["lo"])), lambda d: d["id"])
     units = rows.select(*by, ids.alias("document_ids"), F.col("w.start").alias("start"), F.col("w.n_tokens").alias("n_tokens"), F.col("w.chunk").alias("chunk"))
     key = T.row_hash(F.concat_ws(",", F.array_sort("document_ids")), F.col("chunk"), F.col("n_tokens"))
     return units.withColumn("chunk_id", key).withColumnRenamed("id", "group_id").withColumn("id", F.col("chunk_id")) if "id" in by else units.withColumn("chunk_id", key).withColumn("id", key)
