@@ -124,14 +124,12 @@ def _gains(raw: np.ndarray, start: np.ndarray, end: np.ndarray, toxic: zstd.Zstd
 
 
 def _statistics(gain: np.ndarray, row: np.ndarray, rows: int, cut: float) -> np.ndarray:
-    """Per row: the largest gain, the windows at or over the cut (log), their share, the summed gain over the cut (log)."""
-    top = np.full(rows, -4.0)
+    """Per row: the largest gain, the windows (log) at each of the thresholds up to the cut, their share at the middle one, and all windows (log)."""
+    top = np.zeros(rows)
     np.maximum.at(top, row, gain)
-    over = gain >= cut
     n = np.bincount(row, minlength=rows)
-    hits = np.bincount(row[over], minlength=rows)
-    total = np.bincount(row[over], gain[over] - cut + 1, minlength=rows)
-    return np.stack([top, np.log1p(hits), np.sqrt(hits / np.maximum(n, 1)), np.log1p(total)], 1)
+    hits = [np.bincount(row[gain >= t], minlength=rows) for t in (2, (2 + cut) / 2, cut)]
+    return np.stack([top, *(np.log1p(h) for h in hits), np.sqrt(hits[1] / np.maximum(n, 1)), np.log1p(n)], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
