@@ -1,11 +1,14 @@
 """N-gram Jaccard join through a token-group matrix.
 
 A document's set is its distinct word shingles as 64-bit hashes; equal sets are one class and are
-compared once. The join is exact. All tokens are put in one total order; of two sets that link, each
-holds one of the other's first |S| - ceil(t |S|) + 1 tokens (prefix filter), so only those are
-compared at first. The order puts frequent tokens last: passages that many documents share are not
-compared unless a document consists of little else. Which tokens are frequent is counted over all
-prefixes by hash; any choice of them leaves the join exact, so the list is bounded (HOT) at every size.
+compared once. The join is exact. All tokens are put in one total order. A set may lack d = |S| -
+ceil(t |S|) of its tokens in another that it links with; of two sets that link, the first d + k tokens
+of each (its prefix) therefore have k tokens in common, k that of the smaller set. So only prefixes
+are compared at first, with k = 1 + d // 3, and a document of which fewer than k prefix tokens stand
+in any other prefix is done: k is taken for its smallest possible partner. The order puts frequent
+tokens last: passages that many documents share are not compared unless a document consists of
+little else. Which tokens are frequent is counted over all prefixes by hash; any choice of them
+leaves the join exact, so the list is bounded (HOT) at every size.
 
 Groups. In each token's list the document that shares most with others is its leader; members that
 link with their leader form a group, and groups are cut into blocks of like documents. The matrix
@@ -48,8 +51,13 @@ def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h, r, n, _words.mix(total[edge[1:]] - total[edge[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
+def _common(n, percent: int):
+    """How many of its prefix tokens a set of ``n`` shares with one as large, at least; for numpy and columns."""
+    return 1 + (n + (-percent * n) // 100) // 3
+
+
 def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
-    return n + (-percent * n) // 100 + 1
+    return n + (-percent * n) // 100 + _common(n, percent)
 
 
 def _first(h: np.ndarray, r: np.ndarray, n: np.ndarray, percent: int, hot: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,13 +127,13 @@ def _lists(docs: DataFrame, words: int, percent: int, ranges: int, hot: np.ndarr
             h, r, c = _first(h, r, n, percent, *shared.value)
             score = np.bincount(r, c, minlength=len(n)) / np.maximum(np.bincount(r, minlength=len(n)), 1)
             out = []
-            # a listed token has holders enough; the others must be counted, and have few
+            # a listed token has holders enough and its rows may lie anywhere; the others must be counted, and have few
             for kind, use in (("hot", c > 1), ("cold", c == 1)):
                 order = np.argsort(h[use], kind="stable")
                 rows = r[use][order]
                 cols = [h[use][order], sig[rows].view("<u8"), n[rows].astype("<u4"), np.minimum(score[rows] * 16, 2**32 - 1).astype("<u4")]
                 if kind == "hot":
-                    out += [(kind, -1, _blocks.pack(*cols))] if len(order) else []
+                    out += [(kind, int(sig[0]) % ranges, _blocks.pack(*cols))] if len(order) else []
                 else:
                     out += _blocks.by_range(kind, cols, ranges)
             yield _blocks.batch(out)
@@ -134,7 +142,11 @@ def _lists(docs: DataFrame, words: int, percent: int, ranges: int, hot: np.ndarr
         return pa.record_batch({"token": pa.array(cols[0].view(np.int64)), "sig": pa.array(cols[1].view(np.int64)), "n": pa.array(cols[2].astype(np.int64)), "score": pa.array(cols[3].astype(np.int64))})
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, blocks in _blocks.groups(batches):
+        for kind, _, blocks in _blocks.groups(batches):
+            if kind == "hot":
+                for cols in blocks:
+                    yield rows(cols)
+                continue
             cols = [np.concatenate(x) for x in zip(*blocks, strict=True)]
             order = np.lexsort((cols[1], cols[0]))
             t, s = cols[0][order], cols[1][order]
@@ -143,15 +155,51 @@ def _lists(docs: DataFrame, words: int, percent: int, ranges: int, hot: np.ndarr
             alone = np.r_[True, t[1:] != t[:-1]] & np.r_[t[1:] != t[:-1], True]
             yield rows([c[order[~alone]] for c in cols])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column("block"):
-                yield rows(_blocks.unpack(x.as_py()))
+    return _blocks.shuffled(docs.select("text").mapInArrow(emit, _blocks.SCHEMA), ranges).mapInArrow(keep, "token long, sig long, n long, score long").distinct()
+
+
+def _partnered(lists: DataFrame, percent: int) -> DataFrame:
+    """Rows of classes with enough prefix tokens that another class holds too."""
+    held = lists.groupBy("token").agg((F.min("sig") != F.max("sig")).alias("two")).filter("two").select("token")
+    rows = lists.join(held, "token", "left_semi")
+    smallest = F.floor((F.col("n") * percent + 99) / 100).cast("long")
+    least = 1 + F.floor((smallest - F.floor((smallest * percent + 99) / 100)) / 3)
+    enough = rows.groupBy("sig").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= least).select("sig")
+    return rows.join(enough, "sig", "left_semi")
+
 
-    schema = "token long, sig long, n long, score long"
-    sent = _store.table(docs.select("text").mapInArrow(emit, _blocks.SCHEMA), "prefixes")
-    cold = _blocks.shuffled(sent.filter("kind = 'cold'"), ranges).mapInArrow(keep, schema)
-    return cold.unionByName(sent.filter("kind = 'hot'").mapInArrow(spread, schema)).distinct()
+#: Bits of the filter that keeps most sets without a partner from being sent; its size is fixed.
+FILTER = 1 << 24
+
+
+def _filter(met: DataFrame) -> np.ndarray:
+    """A bitmap of signatures, of FILTER bits whatever their number."""
+    place = F.pmod(F.col("sig"), F.lit(FILTER))
+    rows = met.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(sig, {FILTER}) & 63 AS INT))")).alias("b")).toPandas()
+    words = np.zeros(FILTER // 64, np.int64)
+    words[rows.w.to_numpy(np.int64)] = rows.b.to_numpy(np.int64)
+    return words.view(np.uint64)
+
+
+def _sets_of(docs: DataFrame, met: DataFrame, words: int) -> DataFrame:
+    """(sig, tokens) of the classes in ``met``: texts are read again where they lie, and only sets that the filter passes are sent."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(met))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for b in _words.slices(batches):
+            h, _, n, sig = _sets(b.column("text"), words)
+            at = sig % FILTER
+            hit = (bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            edge = np.concatenate([[0], np.cumsum(n)])
+            keep = []
+            for i in np.flatnonzero(hit):
+                if int(sig[i]) not in done:
+                    done.add(int(sig[i]))
+                    keep.append(int(i))
+            yield pa.record_batch({"sig": pa.array(sig[keep]), "tokens": pa.array([h[edge[i] : edge[i + 1]].tobytes() for i in keep], pa.binary())})
+
+    return docs.select("text").mapInArrow(run, "sig long, tokens binary").join(met, "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
 
 
 def _enough(a: "F.Column", b: "F.Column", percent: int) -> "F.Column":
@@ -208,21 +256,12 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     ranges = max(4, -(-size // RANGE))
     sketch = _store.table(sketches(docs, words), "sketches")
     lists = _store.table(_lists(docs, words, percent, ranges, *_frequent(docs, words, percent, ranges)), "lists")
-    # lists with one class are copies of one set
+    # what falls out in the first turn may have been another's only partner
+    lists = _store.table(_partnered(_store.table(_partnered(lists, percent), "partnered"), percent), "twice")
     heads = lists.groupBy("token").agg(F.count("*").alias("holders"), F.max_by("sig", F.struct("score", "sig")).alias("leader"), F.max_by("n", F.struct("score", "sig")).alias("m")).filter("holders > 1")
     lists = _store.table(lists.join(heads, "token"), "shared")
-    met = lists.select("sig").distinct()
-    reps = sketch.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(met, "sig", "left_semi")
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _words.slices(batches):
-            h, _, n, sig = _sets(b.column("text"), words)
-            edge = np.concatenate([[0], np.cumsum(n)])
-            yield pa.record_batch({"sig": pa.array(sig), "tokens": pa.array([h[edge[i] : edge[i + 1]].tobytes() for i in range(len(n))], pa.binary())})
-
-    # a doc_id may stand on several rows, so the text's own signature decides
-    sets = docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(tokens, "sig long, tokens binary")
-    sets = _store.table(sets.join(met, "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens")), "sets")
+    met = _store.table(lists.select("sig").distinct(), "met")
+    sets = _store.table(_sets_of(docs, met, words), "sets")
     stars = lists.filter((F.col("sig") != F.col("leader")) & _enough(F.col("n"), F.col("m"), percent)).select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct()
     links = _store.table(_verify(stars, sets, percent), "stars")
 
