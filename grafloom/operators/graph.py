@@ -92,6 +92,19 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(df: DataFrame, order: list[str], to: str) -> DataFrame:
+    """Rows numbered from 0 in a total order, without one task that holds them all.
+
+    Range partitions are numbered within, and start where the counts of those before end; the counts
+    are one row per partition.
+    """
+    rows = _written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    counts = rows.groupBy("_p").count()
+    starts = counts.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return rows.join(F.broadcast(starts), "_p").withColumn(to, (F.col("_start") + own).cast("long")).drop("_p", "_start")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(title, component): the least title that edges reach, by alternating large and small stars (Kiveris et al., 2014)."""
     e = _written(edges.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct())
@@ -176,7 +189,7 @@ def clustered_nodes(nodes: DataFrame, communities: DataFrame, edges: DataFrame)
 
     Unclustered nodes stay on level 0 with a null community. Numbers are dense in title order, from 0.
     """
-    ids = nodes.withColumn("human_readable_id", F.row_number().over(Window.orderBy("title")) - 1).withColumn("id", F.md5("title"))
+    ids = number_rows(nodes, ["title"], "human_readable_id").withColumn("id", F.md5("title"))
     out = ids.join(communities.select("title", "level", "community"), "title", "left").join(degrees(edges), "title", "left")
     return out.withColumns({"level": F.coalesce("level", F.lit(0)), "degree": F.coalesce("degree", F.lit(0)).cast("int")})
 

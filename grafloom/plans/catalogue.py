@@ -174,7 +174,7 @@ def text_unit_backlinks(spark, d):
 def final_entities_dedup(spark, d):
     e = graph.rule_entities(units(spark, d), "chunk", "unit").withColumn("doc_id", F.split("unit", ":")[0])
     g = e.groupBy(F.col("title").alias("name")).agg(F.count("*").alias("n_units"), F.countDistinct("doc_id").alias("n_docs"))
-    return g.select(F.md5("name").alias("id"), "name", "n_units", "n_docs", (F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("human_readable_id"))
+    return graph.number_rows(g, ["name"], "human_readable_id").select(F.md5("name").alias("id"), "name", "n_units", "n_docs", "human_readable_id")
 
 
 _COMMUNITY = """sup AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
