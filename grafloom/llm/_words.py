@@ -21,7 +21,7 @@ _POW: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and their inverses modulo 2**64."""
     if "p" not in _POW or len(_POW["p"]) < n + 1:
-        m = 1 << max(_STEP.bit_length(), int(n).bit_length())
+        m = -(-max(int(n), _STEP) // _STEP) * _STEP
         for key, b in (("p", _BASE), ("q", pow(_BASE, -1, 2**64))):
             x = np.full(m + 1, b, np.uint64)
             x[0] = 1
