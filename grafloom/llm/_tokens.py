@@ -16,7 +16,7 @@ from grafloom.llm import _words
 
 VOCABULARY, END, WINDOW = "word_bpe_49k.json", 1, 2048
 #: Words kept between slices.
-CACHE = 300_000
+CACHE = 400_000
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
@@ -97,5 +97,15 @@ class Tokens:
         return out.astype("<u4"), np.concatenate([[0], np.cumsum(per + 1)])
 
 
+_OWN: dict[str | None, Tokens] = {}
+
+
+def shared(path: str | None = None) -> Tokens:
+    """This process's tokenizer, whose cache later tasks of the same worker use too."""
+    if path not in _OWN:
+        _OWN[path] = Tokens(path)
+    return _OWN[path]
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grafloom.llm import _words
-from grafloom.llm._tokens import WINDOW, Tokens, crc
+from grafloom.llm import _tokens, _words
+from grafloom.llm._tokens import WINDOW, crc
 
 QUANTUM, LOOKAHEAD, QUEUES, BANDS = 512, 64 * WINDOW, 256, 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         packer = _Packer(share, owed[min(p * min(parts, BANDS) // parts, len(owed) - 1)], p << 33)
-        tokens = Tokens(tokenizer)
+        tokens = _tokens.shared(tokenizer)
         for b in _words.slices(batches):
             ids, offs = tokens.ids(b.column("text"))
             for i, (doc_id, source) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), strict=True)):
