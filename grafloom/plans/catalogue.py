@@ -373,5 +373,4 @@ def connected_components(spark, d):
 
 @query()
 def hierarchical_clusters(spark, d):
-    e = edges(spark, d).filter("weight >= 3")
-    return graph.hierarchical_communities(e, rounds=4, max_levels=3)
+    return graph.hierarchical_communities(edges(spark, d))
