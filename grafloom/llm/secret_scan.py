@@ -25,15 +25,26 @@ from grafloom.llm import _store
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+# A key reaches over header lines (RFC 1421), blank lines and base64 lines to the END of its own kind; where that
+# is missing, to the end of the base64 lines. Line ends may be escaped, as in JSON, and lines indented or quoted.
+_EOL = r"[\x20\t\"',;+]*+(?:\r?\n|\r|\\++r\\++n|\\++n)[\x20\t>#*\"'+]*+"
+_BASE64 = r"[A-Za-z0-9+/=]"
+# possessive throughout, so that no text costs more than in proportion to its size
+PEM = re.compile(
+    r"-----BEGIN (?P<kind>[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?P=kind)-----"
+    rf"|(?:(?:{_EOL})++[A-Za-z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+"
+    rf"(?:{_EOL}{_BASE64}++(?={_EOL}|[\x20\t\"']*\Z|[\"'])|(?:(?:{_EOL})++|[\x20\t]*+)(?:{_BASE64}{{16,}}+|[A-Za-z0-9+/]++={{1,2}}))*+)"
+)
 ADDED = (
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{20,}")),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
+    ("pem", PEM),
 )
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, *(k for k, _ in ADDED))
-RULE_VERSION = "base-3+added-4"
+RULE_VERSION = "base-3+added-5"
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 

@@ -116,6 +116,19 @@ def test_ledger_skips_what_it_has(spark):
     assert secret_scan.scan(d, ledger).count() == 1 and secret_scan.scan(d, ledger, "other").count() == 2
 
 
+def test_no_key_line_survives(spark):
+    lines = [hashlib.sha512(bytes([i])).hexdigest()[:64].upper().replace("0", "z") for i in range(30)] + ["Qx7="]
+    begin, end = ("-----" + x + " RSA PRIVATE KEY-----" for x in ("BEGIN", "END"))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB\n\n"
+    body = "\n".join(lines)
+    texts = [f"before\n{begin}\n{x}\nafter it" for x in (f"{body}\n{end}", body, f"{head}{body}\n{end}", head + body, f"{lines[0]}\n{begin}\n{body}\n{end}")]
+    texts += [t.replace("\n", n) for t in texts[:2] for n in ("\r\n", "\\n", "\n> ", "\n    ", " ")] + [f"before {begin} after it"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    for r in stages.mask_secrets(spark, df, "").collect():
+        assert not any(x in r.text for x in lines) and "PRIVATE KEY" not in r.text
+        assert r.text.startswith("before") and r.text.endswith("after it")
+
+
 def test_odd_rows_secrets(odd):
     assert _scanned(odd).count() == len(ODD)
 
