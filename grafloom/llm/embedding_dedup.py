@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from grafloom.llm import _links, _store
 from grafloom.llm._vectors import k_means, matrix, usable
 
-SAMPLE, RECALL, MOST_CELLS, CHUNK = 6000, 0.995, 400, 1000
+SAMPLE, RECALL, CHUNK = 6000, 0.995, 1000
+#: Cells of all rows' traversals formed at once.
+SLICE = 1 << 20
 
 
 @dataclass
@@ -72,9 +74,9 @@ def fit(x: np.ndarray, rows: int, least: float, seed: int = 0) -> Model:
     u -= (u * y).sum(1, keepdims=True) * y
     u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
     mate = m.cells(least * y + np.sqrt(1 - least**2) * u)
-    most = min(len(m.left) * len(m.right), MOST_CELLS)
-    order = m.traverse(y, most)
-    rank = np.where((order == mate[:, None]).any(1), (order == mate[:, None]).argmax(1), most - 1)
+    cells = len(m.left) * len(m.right)
+    step = max(1, SLICE // cells)
+    rank = np.concatenate([(m.traverse(y[i : i + step], cells) == mate[i : i + step, None]).argmax(1) for i in range(0, len(y), step)])
     m.visits = int(np.sort(rank)[int(RECALL * (len(rank) - 1))]) + 1
     return m
 
@@ -108,8 +110,9 @@ def link(table: DataFrame, least: float = 0.98) -> DataFrame:
     model = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), size, least)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        step = max(1, SLICE // (len(model.left) * len(model.right)))
+        for whole in batches:
+            for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                 x = matrix(b.column("embedding"))
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 visits = model.traverse(unit, model.visits)

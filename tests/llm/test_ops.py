@@ -116,6 +116,20 @@ def test_ledger_skips_what_it_has(spark):
     assert secret_scan.scan(d, ledger).count() == 1 and secret_scan.scan(d, ledger, "other").count() == 2
 
 
+def test_visits_reach_the_recall_on_dense_vectors():
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for every in (1, 3):
+        x = rng.normal(size=(6000, 64))
+        x[::every] = rng.normal(size=64) + 0.02 * rng.normal(size=(len(x[::every]), 64))
+        x = unit(x)
+        m = embedding_dedup.fit(x, 500_000, 0.98)
+        assert len(m.left) == len(m.right) == 64
+        y, u = x[rng.integers(0, len(x), 500)], rng.normal(size=(500, 64))
+        mate = m.cells(0.98 * y + np.sqrt(1 - 0.98**2) * unit(u - (u * y).sum(1, keepdims=True) * y))
+        assert (m.traverse(y, m.visits) == mate[:, None]).any(1).mean() >= 0.98
+
+
 def test_no_key_line_survives(spark):
     lines = [hashlib.sha512(bytes([i])).hexdigest()[:64].upper().replace("0", "z") for i in range(30)] + ["Qx7="]
     begin, end = ("-----" + x + " RSA PRIVATE KEY-----" for x in ("BEGIN", "END"))
