@@ -1,7 +1,8 @@
 """Tables that cut lineage, kept in the folder the cluster shares.
 
-The folder is ``spark.checkpoint.dir``; where that is unset (tests, a laptop) a folder
-under the system's temporary one is set for the session.
+The folder is ``spark.checkpoint.dir``. Where that is unset a folder under the system's temporary
+one is set for the session, if all of Spark runs on this machine; on a cluster, where other machines
+would not see it, that is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder, set for the session where the cluster names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.gettempdir()}/grafloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -28,7 +31,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/grafloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table made here that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def model_dir(spark: SparkSession, name: str) -> str:

@@ -1,28 +1,33 @@
 """N-gram Jaccard join through a token-group matrix.
 
 A document's set is its distinct word shingles as 64-bit hashes; equal sets are one class and are
-compared once. The join is exact. All tokens are put in one total order. A set may lack d = |S| -
-ceil(t |S|) of its tokens in another that it links with; of two sets that link, the first d + k tokens
-of each (its prefix) therefore have k tokens in common, k that of the smaller set. So only prefixes
-are compared at first, with k = 1 + d // 3, and a document of which fewer than k prefix tokens stand
-in any other prefix is done: k is taken for its smallest possible partner. The order puts frequent
-tokens last: passages that many documents share are not compared unless a document consists of
-little else. Which tokens are frequent is counted over all prefixes by hash; any choice of them
-leaves the join exact, so the list is bounded (HOT) at every size.
-
-Groups. In each token's list the document that shares most with others is its leader; members that
-link with their leader form a group, and groups are cut into blocks of like documents. The matrix
-holds the union of a block's tokens. A document outside meets a block only if they share a prefix
-token, if its component is the smaller, and if the union holds enough of its tokens: no member can
-share more. Only then is the block opened, and members are compared until one links: what is asked
-for is which documents are connected, so one link with a block is enough.
-
-Tokens travel in compressed blocks of sorted arrays, not as rows. Texts of classes that met a
-candidate are read again; no table of all sets is made.
+compared once. The join is exact: which documents are connected does not depend on any choice below.
+
+Order and bounds. Two sets link only if they share ``alpha`` tokens, alpha = ceil(t (|x| + |y|) / (1 + t)).
+All tokens stand in one total order, frequent ones last, so that what is a document's own comes first.
+Of two sets that link, the l-th common token stands at place |x| - alpha + l - 1 or before in x, and
+so in y. Hence only prefixes are compared at first: the smaller set is found by its first
+|x| - alpha(x, x) + k tokens, the larger asks with its first |y| - ceil(t |y|) + k, and k of them agree,
+k = 1 + (|x| - ceil(t |x|)) // 3. A near copy with more tokens of its own than links allow meets
+nothing, however large its family. How often a token occurs is counted over all tokens of all texts;
+any order leaves the join exact, so the list that tells it is bounded (HOT most frequent ones) and
+its keys are cut to so many bits that few tokens fall together.
+
+Groups. In each token's list the document made most of frequent tokens is its leader; documents that
+link with a leader form a component at once. All documents are then partitioned into groups of up to
+about BLOCK of like size: members of one component, or unlinked ones that have the same nearest
+leader. The matrix has a row for each token and group: the places and sizes of the members that hold
+it. A document meets a group of another component if the rows that they share are k or more and stand
+early enough; the group is opened only if the union of its members' sets holds alpha of the document's
+tokens: no member can share more.
+
+Tokens travel in compressed blocks of sorted arrays, not as rows. Texts of classes that may have a
+partner are read again; no table of all sets is made.
 
 Defined cases: null and wordless texts are empty and link with nothing; shorter texts than a shingle
-are one shingle; repeated rows are copies and link; an empty table gives no rows. Classes are told
-apart by a 64-bit sum over their tokens. Extra columns are not read.
+are one shingle; repeated rows are copies and link; an empty table gives no rows; a very long text is
+one set, held by one task at about 60 bytes a word. Classes are told apart by a 64-bit sum over their
+tokens. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from grafloom.llm import _blocks, _links, _store, _words
 
-#: Most frequent tokens that are put last; bytes of text per range of the key space; members of a block; queries that meet it in a task.
-HOT, RANGE, BLOCK, QUERIES = 400_000, 16 << 20, 64, 512
+#: Most frequent tokens that are put last; bytes of text per range of the key space; members of a group; queries that meet it in a task.
+HOT, RANGE, BLOCK, QUERIES = 1 << 20, 16 << 20, 64, 512
+#: Keys or postings that a task holds before it sends them.
+HELD = 3 << 20
+#: Groups hold sets of which the largest is at most about so many times the smallest.
+LIKE = 1.1
 
 
 def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,8 +60,20 @@ def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h, r, n, _words.mix(total[edge[1:]] - total[edge[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
+def _once(sig: np.ndarray) -> np.ndarray:
+    """Which rows are the first of their class."""
+    first = np.zeros(len(sig), bool)
+    first[np.unique(sig, return_index=True)[1]] = True
+    return first
+
+
+def _alpha(a, b, percent: int):
+    """Tokens that sets of sizes ``a`` and ``b`` share at least if they link; numpy."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
 def _common(n, percent: int):
-    """How many of its prefix tokens a set of ``n`` shares with one as large, at least; for numpy and columns."""
+    """How many prefix tokens a set of ``n`` shares with one at least as large; numpy."""
     return 1 + (n + (-percent * n) // 100) // 3
 
 
@@ -60,18 +81,12 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n + (-percent * n) // 100 + _common(n, percent)
 
 
-def _first(h: np.ndarray, r: np.ndarray, n: np.ndarray, percent: int, hot: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The prefixes' tokens under the order (frequency if listed, hash), their rows and frequencies."""
-    c = np.ones(len(h), np.uint32)
-    if len(hot) and len(h):
-        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-        hit = hot[at] == h
-        c[hit] = often[at[hit]]
-        order = np.lexsort((h, c, r))
-        h, r, c = h[order], r[order], c[order]
-    place = np.arange(len(h)) - (np.cumsum(n) - n)[r]
-    keep = place < _prefix(n, percent)[r]
-    return h[keep], r[keep], c[keep]
+def _sql_alpha(a: Column, b: Column, percent: int) -> Column:
+    return F.ceil((a + b) * percent / (100 + percent) - 1e-9).cast("long")
+
+
+def _sql_common(n: Column, percent: int) -> Column:
+    return 1 + F.floor((n - F.floor((n * percent + 99) / 100)) / 3)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -85,19 +100,31 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long")
 
 
-def _frequent(docs: DataFrame, words: int, percent: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most HOT tokens that stand in most prefixes by hash, ascending, and how often."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+def _mask(size: int) -> np.uint64:
+    """The bits of a token that tell its frequency: 32 keys for each byte of text."""
+    return np.uint64(2**64 - 2 ** max(0, 64 - max(16, size.bit_length() + 5)))
+
+
+def _frequent(docs: DataFrame, words: int, ranges: int, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """At most HOT masked tokens that stand in most texts, ascending, and in how many."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            return _blocks.batch(list(_blocks.by_range("n", [keys, c.astype("<u4")], ranges)))
+
         for b in _words.slices(batches):
-            h, r, n, sig = _sets(b.column("text"), words)
-            h, r, _ = _first(h, r, n, percent, *none)
+            h, r, _, sig = _sets(b.column("text"), words)
             # copies within a slice count once
-            _, kind = np.unique(sig, return_inverse=True)
-            h = _words.distinct(h, kind[r])[0]
-            keys, c = np.unique(h, return_counts=True)
-            yield _blocks.batch(list(_blocks.by_range("n", [keys, c.astype("<u4")], ranges)))
+            held.append(h[_once(sig)[r]] & mask)
+            size += len(held[-1])
+            if size > HELD:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part, blocks in _blocks.groups(batches):
@@ -106,40 +133,72 @@ def _frequent(docs: DataFrame, words: int, percent: int, ranges: int) -> tuple[n
             keys, c = keys[order], c[order].astype(np.int64)
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             keys, c = keys[first], np.minimum(np.add.reduceat(c, first), 2**32 - 1)
-            top = np.lexsort((keys, -c))[: max(1, HOT // ranges)]
-            top = np.sort(top[c[top] >= 3])
+            top = np.flatnonzero(c >= 3)
+            top = np.sort(top[np.lexsort((keys[top], -c[top]))[: max(1, HOT // ranges)]])
             yield _blocks.batch([("hot", part, _blocks.pack(keys[top], c[top].astype("<u4")))])
 
     got = _blocks.shuffled(docs.select("text").mapInArrow(count, _blocks.SCHEMA), ranges).mapInArrow(merge, _blocks.SCHEMA).collect()
     if not got:
-        return none
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     cols = [_blocks.unpack(bytes(r.block)) for r in sorted(got, key=lambda r: r.part)]
     return np.concatenate([c[0] for c in cols]), np.concatenate([c[1] for c in cols])
 
 
-def _lists(docs: DataFrame, words: int, percent: int, ranges: int, hot: np.ndarray, often: np.ndarray) -> DataFrame:
-    """(token, sig, n, score) for prefix tokens that more than one class may hold; score: how common a class's prefix is."""
+def _ordered(h: np.ndarray, r: np.ndarray, n: np.ndarray, percent: int, hot: np.ndarray, often: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, ...]:
+    """The prefixes' tokens under the order (frequency, hash): token, row, place, frequency; and each row's share of frequent tokens."""
+    c = np.ones(len(h), np.uint32)
+    if len(hot) and len(h):
+        key = h & mask
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        hit = hot[at] == key
+        c[hit] = often[at[hit]]
+        order = np.lexsort((h, c, r))
+        h, r, c = h[order], r[order], c[order]
+    place = np.arange(len(h)) - (np.cumsum(n) - n)[r]
+    listed = np.bincount(r, c > 1, minlength=len(n)) / np.maximum(n, 1)
+    keep = place < _prefix(n, percent)[r]
+    return h[keep], r[keep], place[keep], c[keep], listed
+
+
+_POSTING = "token long, sig long, n long, place long, score long"
+
+
+def _lists(docs: DataFrame, words: int, percent: int, ranges: int, mask: np.uint64, hot: np.ndarray, often: np.ndarray) -> DataFrame:
+    """(token, sig, n, place, score) for prefix tokens that more than one class may hold; score: a class's share of frequent tokens."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, often))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _words.slices(batches):
-            h, r, n, sig = _sets(b.column("text"), words)
-            h, r, c = _first(h, r, n, percent, *shared.value)
-            score = np.bincount(r, c, minlength=len(n)) / np.maximum(np.bincount(r, minlength=len(n)), 1)
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            h, s, n, place, score, c = (np.concatenate(x) for x in zip(*held, strict=True))
             out = []
             # a listed token has holders enough and its rows may lie anywhere; the others must be counted, and have few
             for kind, use in (("hot", c > 1), ("cold", c == 1)):
-                order = np.argsort(h[use], kind="stable")
-                rows = r[use][order]
-                cols = [h[use][order], sig[rows].view("<u8"), n[rows].astype("<u4"), np.minimum(score[rows] * 16, 2**32 - 1).astype("<u4")]
-                if kind == "hot":
-                    out += [(kind, int(sig[0]) % ranges, _blocks.pack(*cols))] if len(order) else []
-                else:
+                order = np.flatnonzero(use)
+                order = order[np.argsort(h[order], kind="stable")]
+                cols = [x[order] for x in (h, s, n, place, score)]
+                if kind == "cold":
                     out += _blocks.by_range(kind, cols, ranges)
-            yield _blocks.batch(out)
+                elif len(order):
+                    out.append((kind, int(cols[1][0] % np.uint64(ranges)), _blocks.pack(*cols)))
+            return _blocks.batch(out)
+
+        for b in _words.slices(batches):
+            h, r, n, sig = _sets(b.column("text"), words)
+            h, r, place, c, listed = _ordered(h, r, n, percent, *shared.value, mask)
+            use = _once(sig)[r]
+            h, r, place, c = h[use], r[use], place[use], c[use]
+            held.append((h, sig[r].view("<u8"), n[r].astype("<u4"), place.astype("<u4"), (listed[r] * 1000).astype("<u4"), c))
+            size += len(h)
+            if size > HELD // 2:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
     def rows(cols: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.record_batch({"token": pa.array(cols[0].view(np.int64)), "sig": pa.array(cols[1].view(np.int64)), "n": pa.array(cols[2].astype(np.int64)), "score": pa.array(cols[3].astype(np.int64))})
+        return pa.record_batch({k: pa.array(c.view(np.int64) if c.itemsize == 8 else c.astype(np.int64)) for k, c in zip(("token", "sig", "n", "place", "score"), cols, strict=True)})
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, _, blocks in _blocks.groups(batches):
@@ -155,17 +214,16 @@ def _lists(docs: DataFrame, words: int, percent: int, ranges: int, hot: np.ndarr
             alone = np.r_[True, t[1:] != t[:-1]] & np.r_[t[1:] != t[:-1], True]
             yield rows([c[order[~alone]] for c in cols])
 
-    return _blocks.shuffled(docs.select("text").mapInArrow(emit, _blocks.SCHEMA), ranges).mapInArrow(keep, "token long, sig long, n long, score long").distinct()
+    return _blocks.shuffled(docs.select("text").mapInArrow(emit, _blocks.SCHEMA), ranges).mapInArrow(keep, _POSTING).distinct()
 
 
 def _partnered(lists: DataFrame, percent: int) -> DataFrame:
-    """Rows of classes with enough prefix tokens that another class holds too."""
+    """Rows of classes that other classes share enough prefix tokens with, the first of them early enough."""
     held = lists.groupBy("token").agg((F.min("sig") != F.max("sig")).alias("two")).filter("two").select("token")
     rows = lists.join(held, "token", "left_semi")
     smallest = F.floor((F.col("n") * percent + 99) / 100).cast("long")
-    least = 1 + F.floor((smallest - F.floor((smallest * percent + 99) / 100)) / 3)
-    enough = rows.groupBy("sig").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= least).select("sig")
-    return rows.join(enough, "sig", "left_semi")
+    enough = rows.groupBy("sig", "n").agg(F.count("*").alias("k"), F.min("place").alias("first")).filter((F.col("k") >= _sql_common(smallest, percent)) & (F.col("first") <= F.col("n") - smallest))
+    return rows.join(enough.select("sig"), "sig", "left_semi")
 
 
 #: Bits of the filter that keeps most sets without a partner from being sent; its size is fixed.
@@ -202,8 +260,11 @@ def _sets_of(docs: DataFrame, met: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, tokens binary").join(met, "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
 
 
-def _enough(a: "F.Column", b: "F.Column", percent: int) -> "F.Column":
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,80 +272,107 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            keep = [_linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+_GROUP = ["family", "loose", "bucket", "block"]
+
+
 def _open(asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between queries and blocks that they meet: (q, block, turn, tokens) and (block, turn, sig, tokens)."""
+    """Links (a, b) between queries and the groups that they meet."""
 
     def run(have: pa.Table, ask: pa.Table) -> pa.Table:
         a, b = [], []
         if have.num_rows and ask.num_rows:
             sets = [np.frombuffer(x.as_buffer(), "<u8") for x in have.column("tokens")]
             ids = have.column("sig").to_pylist()
-            union = np.unique(np.concatenate(sets))
+            one = not have.column("loose")[0].as_py()
+            union, least = np.unique(np.concatenate(sets)), min(map(len, sets))
             for q, x in zip(ask.column("q").to_pylist(), ask.column("q_tokens"), strict=True):
                 x = np.frombuffer(x.as_buffer(), "<u8")
                 at = np.minimum(np.searchsorted(union, x), len(union) - 1)
-                if 100 * int((union[at] == x).sum()) < percent * len(x):
+                if int((union[at] == x).sum()) < _alpha(len(x), max(least, -(-percent * len(x) // 100)), percent):
                     continue
                 for i, y in zip(ids, sets, strict=True):
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
+                    if i != q and len(y) <= len(x) and _linked(x, y, percent):
                         a.append(q)
                         b.append(i)
-                        break
+                        # what is asked for is which documents are connected: one link with a component is enough
+                        if one:
+                            break
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("group", "block", "turn").cogroup(asked.groupBy("q_group", "q_block", "q_turn")).applyInArrow(run, "a long, b long")
+    return members.groupBy(*_GROUP, "turn").cogroup(asked.groupBy(*(f"q_{g}" for g in _GROUP), "q_turn")).applyInArrow(run, "a long, b long")
+
+
+def _groups(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """sig, component, and the group that each class is put into."""
+    near = lists.groupBy("sig", "n").agg(F.max_by("leader", F.struct("lead_score", "leader")).alias("anchor"))
+    parts = _store.table(_links.components(links), "stars_parts")
+    named = near.join(parts.toDF("sig", "component"), "sig", "left").join(parts.toDF("anchor", "anchored"), "anchor", "left")
+    named = named.select("sig", F.coalesce("component", "sig").alias("component"), F.coalesce("component", "anchored", "anchor").alias("family"), F.col("component").isNull().alias("loose"), F.floor(F.log(F.col("n")) / float(np.log(LIKE))).alias("bucket"))
+    named = _store.table(named, "families")
+    extent = named.groupBy(*_GROUP[:3]).agg(F.count("*").alias("members"))
+    return named.join(extent, _GROUP[:3]).withColumn("block", F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / BLOCK))).select("sig", "component", *_GROUP)
+
+
+def _met(lists: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """(q, group): what the token-group matrix cannot exclude."""
+    rows = lists.select("token", "sig", "n", "place").join(group, "sig")
+    mixed = rows.groupBy("token").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("token")
+    rows = _store.table(rows.join(mixed, "token", "left_semi"), "mixed")
+    n, place = F.col("n"), F.col("place")
+    index = rows.filter(place < n - _sql_alpha(n, n, percent) + _sql_common(n, percent))
+    matrix = index.groupBy("token", *_GROUP).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(n - place).alias("rest"), F.min("sig").alias("one"), F.max("sig").alias("two"))
+    matrix = matrix.select(F.col("token").alias("t"), *(F.col(g).alias(f"q_{g}") for g in _GROUP), "low", "high", "rest", "one", "two")
+    # no partner is smaller than this
+    least = F.greatest("low", F.floor((n * percent + 99) / 100).cast("long"))
+    alpha, k = _sql_alpha(n, least, percent), _sql_common(n, percent)
+    other = F.col("q_loose") | (F.col("q_family") != F.col("component"))
+    held = ~((F.col("one") == F.col("sig")) & (F.col("two") == F.col("sig")))
+    fits = (F.col("low") <= n) & (F.col("high") * 100 >= n * percent) & (n - place + k - 1 >= alpha) & (F.col("rest") + k - 1 >= alpha)
+    hits = rows.join(matrix, (F.col("token") == F.col("t")) & other & held & fits)
+    hits = hits.groupBy(F.col("sig").alias("q"), *(f"q_{g}" for g in _GROUP)).agg(F.count("*").alias("hits"), F.max((n - place >= alpha) & (F.col("rest") >= alpha)).alias("early"), F.min(_sql_common(least, percent)).alias("k"))
+    return hits.filter("early AND hits >= k").select("q", *(f"q_{g}" for g in _GROUP))
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(4, -(-size // RANGE))
+    ranges, mask = max(4, -(-size // RANGE)), _mask(size)
     sketch = _store.table(sketches(docs, words), "sketches")
-    lists = _store.table(_lists(docs, words, percent, ranges, *_frequent(docs, words, percent, ranges)), "lists")
+    all_lists = _store.table(_lists(docs, words, percent, ranges, mask, *_frequent(docs, words, ranges, mask)), "lists")
     # what falls out in the first turn may have been another's only partner
-    lists = _store.table(_partnered(_store.table(_partnered(lists, percent), "partnered"), percent), "twice")
-    heads = lists.groupBy("token").agg(F.count("*").alias("holders"), F.max_by("sig", F.struct("score", "sig")).alias("leader"), F.max_by("n", F.struct("score", "sig")).alias("m")).filter("holders > 1")
-    lists = _store.table(lists.join(heads, "token"), "shared")
-    met = _store.table(lists.select("sig").distinct(), "met")
+    once = _store.table(_partnered(all_lists, percent), "partnered")
+    _store.drop(all_lists)
+    lists = _store.table(_partnered(once, percent), "twice")
+    _store.drop(once)
+    order = F.struct("score", "sig")
+    heads = lists.groupBy("token").agg(F.min("sig").alias("one"), F.max("sig").alias("two"), F.max_by("sig", order).alias("leader"), F.max_by("n", order).alias("m"), F.max("score").alias("lead_score")).filter("one <> two").drop("one", "two")
+    shared = _store.table(lists.join(heads, "token"), "shared")
+    _store.drop(lists)
+    met = _store.table(shared.select("sig").distinct(), "met")
     sets = _store.table(_sets_of(docs, met, words), "sets")
-    stars = lists.filter((F.col("sig") != F.col("leader")) & _enough(F.col("n"), F.col("m"), percent)).select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct()
-    links = _store.table(_verify(stars, sets, percent), "stars")
-
-    # groups: what stars connect, in blocks; a class that no star holds is a group of its own
-    group = met.join(_links.components(links), F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("component", "sig").alias("group"))
-    group = _store.table(group, "groups")
-    extent = group.groupBy("group").agg(F.count("*").alias("members"))
-    group = _store.table(group.join(extent, "group").withColumn("block", F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / BLOCK))), "blocks")
-    rows = lists.select("token", "sig", "n").join(group, "sig")
-    mixed = rows.groupBy("token").agg((F.min("group") != F.max("group")).alias("mixed")).filter("mixed").select("token")
-    rows = _store.table(rows.join(mixed, "token", "left_semi"), "mixed")
-    side = rows.groupBy("token", "group", "block", "members").agg(F.min("n").alias("low"), F.max("n").alias("high")).select(F.col("token").alias("t"), F.col("group").alias("q_group"), F.col("block").alias("q_block"), F.col("members").alias("q_members"), "low", "high")
-    near = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
-    smaller = F.struct("members", "group") < F.struct("q_members", "q_group")
-    asked = rows.join(side, (F.col("token") == F.col("t")) & (F.col("group") != F.col("q_group")) & smaller & near).select(F.col("sig").alias("q"), "q_group", "q_block").distinct()
-    asked = _store.table(asked, "asked")
-    turns = asked.groupBy("q_group", "q_block").agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
-    asked = asked.join(turns, ["q_group", "q_block"]).withColumn("q_turn", F.pmod(F.xxhash64("q"), F.col("turns"))).join(sets.toDF("q", "q_tokens"), "q").select("q", "q_group", "q_block", "q_turn", "q_tokens")
-    turns = turns.toDF("group", "block", "turns")
-    members = group.join(turns, ["group", "block"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).join(sets, "sig").select("group", "block", "turn", "sig", "tokens")
-    links = links.unionByName(_open(asked, members, percent))
-
-    parts = _store.table(_links.components(_store.table(links, "all_links")), "parts")
+    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    stars = shared.filter((F.col("sig") != F.col("leader")) & near).groupBy(F.col("sig").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("hits"), F.min(F.least("n", "m")).alias("n"))
+    links = _store.table(_verify(stars.filter(F.col("hits") >= _sql_common(F.col("n"), percent)).select("a", "b"), sets, percent), "stars")
+
+    group = _store.table(_groups(shared, links), "groups")
+    asked = _store.table(_met(shared, group, percent), "asked")
+    key = [f"q_{g}" for g in _GROUP]
+    turns = asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
+    asked = asked.join(turns, key).withColumn("q_turn", F.pmod(F.xxhash64("q"), F.col("turns"))).join(sets.toDF("q", "q_tokens"), "q").select("q", *key, "q_turn", "q_tokens")
+    members = group.join(turns.toDF(*_GROUP, "turns"), _GROUP).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).join(sets, "sig").select(*_GROUP, "turn", "sig", "tokens")
+    links = _store.table(links.unionByName(_open(asked, members, percent)), "all_links")
+    for done in (shared, sets, group):
+        _store.drop(done)
+
+    parts = _store.table(_links.components(links), "parts")
     named = sketch.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least")).join(parts, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("component", "sig").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "component").select(F.col("sig").alias("s"), "component_id")
