@@ -9,9 +9,13 @@ Training uses runs of words of labelled documents; runs of two languages are joi
 transitions between languages occur. The chain of a document is cut into blocks whose transfer
 matrices are combined exactly, so that long texts are handled whole and without a step per word.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; repeated rows each
-get a row; an empty table gives no rows; without training rows everything is ``und``. Extra columns
-are not read.
+Every language that the training rows name is learned; with many of them features share the weight
+table's rows, whose number of weights is bounded.
+
+Defined cases: null texts and texts without a letter are ``und`` with score 0; of languages with equal
+sums the first by name is taken; repeated rows each get a row; an empty table gives no rows; without
+training rows everything is ``und``; a very long text is one chain, held by one task at about 150 bytes
+a byte of text and language. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,15 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from grafloom.llm import _words
 from grafloom.llm.toxicity import held_out
 
-#: Rows of the weight table; words of a training run; words of a block.
+#: Rows of the weight table for up to 64 languages (fewer for more); words of a training run; words of a block.
 BUCKETS, RUN, BLOCK = 1 << 17, 24, 48
-#: Most training documents of each language, and most languages.
-SAMPLE, LANGUAGES = 400, 64
+#: Most training documents of each language, and of all (one of each language at least).
+SAMPLE, SAMPLE_ALL = 400, 16_000
+#: Bytes of text that are labelled at once.
+SLICE = 1 << 19
 _SEED = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -41,11 +47,13 @@ class Model:
 
 
 def _letters(raw: np.ndarray) -> np.ndarray:
-    """Bytes that are, or may belong to, letters."""
-    return ((raw >= 97) & (raw <= 122)) | ((raw >= 65) & (raw <= 90)) | (raw >= 0xC3)
+    """Bytes that are, or may belong to, letters; of those that start with 0xC2 three signs are (U+00AA, U+00B5, U+00BA)."""
+    sign = np.zeros(len(raw), bool)
+    sign[:-1] = (raw[:-1] == 0xC2) & ((raw[1:] == 0xAA) | (raw[1:] == 0xB5) | (raw[1:] == 0xBA))
+    return ((raw >= 97) & (raw <= 122)) | ((raw >= 65) & (raw <= 90)) | (raw >= 0xC3) | sign
 
 
-def _features(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _features(raw: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words (as rows of the weight table) and where each word's begin."""
     size = end - start
     total = int(size.sum())
@@ -67,14 +75,14 @@ def _features(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
                 owners.append(owner[: total - n + 1][keep])
     own = np.concatenate(owners)
     order = np.argsort(own, kind="stable")
-    f = (_words.mix(np.concatenate(parts)[order]) % np.uint64(BUCKETS)).astype(np.int64)
+    f = (_words.mix(np.concatenate(parts)[order]) % np.uint64(buckets)).astype(np.int64)
     return f, np.searchsorted(own[order], np.arange(len(start)), "left")
 
 
 def _emissions(raw: np.ndarray, start: np.ndarray, end: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """A score per word and language; equal words of the slice are computed once."""
     _, where, back = np.unique(_words.hashes(raw, start, end), return_index=True, return_inverse=True)
-    f, first = _features(raw, start[where], end[where])
+    f, first = _features(raw, start[where], end[where], len(emit))
     count = np.diff(np.append(first, len(f)))
     return (np.add.reduceat(emit[f], first, axis=0) / np.sqrt(count)[:, None])[back]
 
@@ -137,14 +145,13 @@ def marginals(e: np.ndarray, row: np.ndarray, rows: int, step: np.ndarray) -> np
     return out
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = 12, runs: int = 40) -> Model | None:
+def fit(texts: list[str], labels: list[str], epochs: int = 12, runs: int = 24) -> Model | None:
     """Learn weights and transitions by stochastic gradients of the chain's likelihood (AdaGrad)."""
     if not texts:
         return None
-    names = sorted(set(labels))[:LANGUAGES]
-    keep = [i for i, x in enumerate(labels) if x in names]
-    raw, offs = _words.buffers(pa.array([texts[i] for i in keep], pa.string()))
-    lab = np.array([names.index(labels[i]) for i in keep])
+    names, lab = np.unique(np.array(labels, object), return_inverse=True)
+    names, buckets = names.tolist(), max(1 << 10, BUCKETS * 64 // max(64, len(names)))
+    raw, offs = _words.buffers(pa.array(texts, pa.string()))
     start, end, row = _words.words(raw, offs)
     if not len(start):
         return None
@@ -167,12 +174,12 @@ def fit(texts: list[str], labels: list[str], epochs: int = 12, runs: int = 40) -
     used, ids = np.unique(word, return_inverse=True)
     ids = ids.reshape(word.shape)
     _, where, back = np.unique(_words.hashes(raw, start[used], end[used]), return_index=True, return_inverse=True)
-    f, begin = _features(raw, start[used][where], end[used][where])
+    f, begin = _features(raw, start[used][where], end[used][where], buckets)
     n = np.diff(np.append(begin, len(f)))
     ids = back[ids]
     k = len(names)
-    emit, step = np.zeros((BUCKETS, k)), np.zeros((k, k))
-    ge, gs = np.full((BUCKETS, k), 1e-2), np.full((k, k), 1.0)
+    emit, step = np.zeros((buckets, k)), np.zeros((k, k))
+    ge, gs = np.full((buckets, k), 1e-2), np.full((k, k), 1.0)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // 256)):
             u, inv = np.unique(ids[part], return_inverse=True)
@@ -253,32 +260,44 @@ def predict(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray
     return out, score
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred and score; its own columns stay, save those of the two names."""
-    from pyspark.sql import types as T
+def predicted(text: Column, model: Model | None) -> Column:
+    """(lang_pred, score) of a text column; no other column travels to the workers."""
 
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in parts:
+            names, scores = [], [np.zeros(0)]
+            for b in _words.slices(iter([pa.record_batch({"text": whole})]), most=SLICE):
+                n, s = predict(b.column("text"), model)
+                names += n
+                scores.append(np.clip(s, 0, 1))
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores), pa.float64())], ["lang_pred", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _words.slices(batches):
-            names, score = predict(b.column("text"), model)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], [*b.schema.names, "lang_pred", "score"])
+    return run(text)
 
-    return docs.mapInArrow(run, schema)
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` with lang_pred and score; its own columns stay, save those of the two names."""
+    docs = docs.drop("lang_pred", "score")
+    return docs.withColumn("lang_pred", predicted(F.col("text"), model)).select(*docs.columns, "lang_pred.lang_pred", "lang_pred.score")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learn from at most ``sample`` documents of each of the LANGUAGES most frequent languages, chosen by a hash of doc_id, none with remainder 1."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    picked = None
-    for name in names:
-        part = rows.filter(F.col("lang") == name).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
+    """Learn from at most ``sample`` documents of each language, SAMPLE_ALL in all, chosen by a hash of doc_id, none with remainder 1.
+
+    One scan counts the languages; a second takes about twice the sample of each by a threshold on the
+    hash, of which the lowest stay.
+    """
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", "lang", "text")
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
         return None
-    got = rows.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "lang").distinct()), "doc_id").toPandas().sort_values(["doc_id", "lang", "text"])
+    each = max(1, min(sample, SAMPLE_ALL // len(counts)))
+    share = docs.sparkSession.createDataFrame([(r.lang, (2 * each + 100) / r["count"]) for r in counts], "lang string, share double")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    some = rows.join(F.broadcast(share), "lang").withColumn("h", h).filter(F.col("h") < F.col("share") * float(1 << 32))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    got = some.withColumn("n", first).filter(F.col("n") <= each).select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "lang", "text"])
     return fit(list(got.text), list(got.lang))
 
 

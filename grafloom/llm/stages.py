@@ -1,7 +1,13 @@
 """The corpus pipeline's stages: each takes (spark, docs, sf_dir), docs with the columns of documents.
 
-All but the last return those columns. A row without doc_id goes through every stage; rows of one
-doc_id with equal texts are copies of one document.
+All but the last return those columns, and any others that the table has, whatever their names: a
+stage's own columns stand beside the row, not in it.
+
+Defined cases: a row without doc_id goes through every stage as a document of its own, last in order;
+rows of one doc_id with equal texts are copies of one document; a null text is empty: it has no letter,
+so that the language stage drops it; of near copies the one with the smallest doc_id stays, of equal
+doc_ids one of them; ties of the other stages are those of their operators; an empty table stays empty;
+very long texts go through whole.
 """
 
 from __future__ import annotations
@@ -10,58 +16,65 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from grafloom.llm import _store, jaccard, language, mixing, packing, secret_scan
 
-#: Least score of a language that a document keeps its place with.
-SURE = 0.5
 MASK = "[secret]"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no letter, or no language with half of the words' weight."""
-    found = language.identify(docs, language.train(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    """Drop documents that have no language, as they hold no letter."""
+    found = language.predicted(F.col("text"), language.train(docs))
+    return docs.filter(found["lang_pred"] != "und")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
-    groups = _store.table(jaccard.join(docs, words=5, percent=80), "groups")
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
-
-
-def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+    # a document is its doc_id and text: other texts of the same doc_id are judged by themselves
+    own = F.xxhash64("doc_id", "text")
+    groups = _store.table(jaccard.join(docs.select(own.alias("doc_id"), "text"), words=5, percent=80).distinct(), "groups")
+    named = docs.select(own.alias("key"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")).distinct()
+    kept = named.join(groups, F.col("key") == F.col("doc_id")).groupBy("component_id").agg(F.min(F.struct("none", "id", "key")).alias("least")).select(F.col("least.key").alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), own.alias("key")).join(kept, "key", "left_semi")
+    return rows.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+
+
+@F.arrow_udf(StringType())
+def _masked(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, found in parts:
+        out = []
+        for text, spans in zip(texts, found, strict=True):
+            text, spans = text.as_py(), spans.as_py()
             if text and spans:
-                parts, at = [], 0
+                kept, at = [], 0
                 for span in spans.split(","):
                     _, start, end = span.split(":")
                     if int(start) >= at:
-                        parts += [text[at : int(start)], MASK]
+                        kept += [text[at : int(start)], MASK]
                     at = max(at, int(end))
-                text = "".join(parts) + text[at:]
-            texts.append(text)
-        i = b.schema.get_field_index("text")
-        yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type)).select(b.schema.names[:-1])
+                text = "".join(kept) + text[at:]
+            out.append(text)
+        yield pa.array(out, pa.string())
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret found through the blob ledger by a mask; n_chars follows the text."""
     ledger = _store.table(secret_scan.scan(docs), "ledger").filter("spans <> ''").select("blob", "spans")
-    blob = F.sha2(F.coalesce("text", F.lit("")), 256)
-    found = docs.withColumn("blob", blob).join(ledger, "blob", "left").select(*docs.columns, "spans")
-    return found.mapInArrow(_masked, docs.schema).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob")).join(ledger, "blob", "left")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(_masked(F.col("row.text"), F.col("spans")))
+    rows = rows.withColumn("masked", text)
+    size = F.when(F.col("masked").isNull(), F.col("row.n_chars")).otherwise(F.char_length("masked").cast("long"))
+    new = {"text": F.col("masked"), "n_chars": size}
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix does: a row for each copy."""
-    taken = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), "copies").distinct()
-    rows = docs.join(taken, docs.doc_id.eqNullSafe(F.col("i")) & docs.source.eqNullSafe(F.col("s")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    taken = mixing.mix(docs).filter("copies > 0").select("doc_id", "source", "copies").distinct()
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
+    rows = docs.select(F.struct("*").alias("row")).join(taken, same)
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
