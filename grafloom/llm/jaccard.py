@@ -8,12 +8,12 @@ All tokens stand in one total order, frequent ones last, so that what is a docum
 Of two sets that link, the l-th common token stands at place |x| - alpha + l - 1 or before in x, and
 so in y. Hence only prefixes are compared at first: the smaller set is found by its first
 |x| - alpha(x, x) + k tokens, the larger asks with its first |y| - ceil(t |y|) + k, and k of them agree,
-k = 1 + (|x| - ceil(t |x|)) // 3. A near copy with more tokens of its own than links allow meets
+k = 1 + (|x| - ceil(t |x|)) // 6. A near copy with more tokens of its own than links allow meets
 nothing, however large its family. How often a token occurs is counted over all tokens of all texts;
 any order leaves the join exact, so the list that tells it is bounded (HOT most frequent ones) and
 its keys are cut to so many bits that few tokens fall together.
 
-Groups. In each token's list the document made most of frequent tokens is its leader; documents that
+Groups. In each token's list the document whose prefix is shared most is its leader; documents that
 link with a leader form a component at once. All documents are then partitioned into groups of up to
 about BLOCK of like size: members of one component, or unlinked ones that have the same nearest
 leader. The matrix has a row for each token and group: the places and sizes of the members that hold
@@ -36,14 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from grafloom.llm import _blocks, _links, _store, _words
 
 #: Most frequent tokens that are put last; bytes of text per range of the key space; members of a group; queries that meet it in a task.
 HOT, RANGE, BLOCK, QUERIES = 1 << 20, 16 << 20, 64, 512
 #: Keys or postings that a task holds before it sends them.
-HELD = 3 << 20
+HELD = 3 << 19
 #: Groups hold sets of which the largest is at most about so many times the smallest.
 LIKE = 1.1
 
@@ -74,7 +74,7 @@ def _alpha(a, b, percent: int):
 
 def _common(n, percent: int):
     """How many prefix tokens a set of ``n`` shares with one at least as large; numpy."""
-    return 1 + (n + (-percent * n) // 100) // 3
+    return 1 + (n + (-percent * n) // 100) // 6
 
 
 def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -86,7 +86,7 @@ def _sql_alpha(a: Column, b: Column, percent: int) -> Column:
 
 
 def _sql_common(n: Column, percent: int) -> Column:
-    return 1 + F.floor((n - F.floor((n * percent + 99) / 100)) / 3)
+    return 1 + F.floor((n - F.floor((n * percent + 99) / 100)) / 6)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -101,8 +101,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _mask(size: int) -> np.uint64:
-    """The bits of a token that tell its frequency: 32 keys for each byte of text."""
-    return np.uint64(2**64 - 2 ** max(0, 64 - max(16, size.bit_length() + 5)))
+    """The bits of a token that tell its frequency: eight keys or more for each byte of text."""
+    return np.uint64(2**64 - 2 ** max(0, 64 - max(16, size.bit_length() + 3)))
 
 
 def _frequent(docs: DataFrame, words: int, ranges: int, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def _frequent(docs: DataFrame, words: int, ranges: int, mask: np.uint64) -> tupl
 
 
 def _ordered(h: np.ndarray, r: np.ndarray, n: np.ndarray, percent: int, hot: np.ndarray, often: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, ...]:
-    """The prefixes' tokens under the order (frequency, hash): token, row, place, frequency; and each row's share of frequent tokens."""
+    """The prefixes' tokens under the order (frequency, hash): token, row, place, frequency."""
     c = np.ones(len(h), np.uint32)
     if len(hot) and len(h):
         key = h & mask
@@ -155,41 +155,33 @@ def _ordered(h: np.ndarray, r: np.ndarray, n: np.ndarray, percent: int, hot: np.
         order = np.lexsort((h, c, r))
         h, r, c = h[order], r[order], c[order]
     place = np.arange(len(h)) - (np.cumsum(n) - n)[r]
-    listed = np.bincount(r, c > 1, minlength=len(n)) / np.maximum(n, 1)
     keep = place < _prefix(n, percent)[r]
-    return h[keep], r[keep], place[keep], c[keep], listed
-
-
-_POSTING = "token long, sig long, n long, place long, score long"
+    return h[keep], r[keep], place[keep], c[keep]
 
 
 def _lists(docs: DataFrame, words: int, percent: int, ranges: int, mask: np.uint64, hot: np.ndarray, often: np.ndarray) -> DataFrame:
-    """(token, sig, n, place, score) for prefix tokens that more than one class may hold; score: a class's share of frequent tokens."""
+    """(token, sig, place) for prefix tokens that more than one class may hold."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, often))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            h, s, n, place, score, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, s, place, c = (np.concatenate(x) for x in zip(*held, strict=True))
             out = []
-            # a listed token has holders enough and its rows may lie anywhere; the others must be counted, and have few
-            for kind, use in (("hot", c > 1), ("cold", c == 1)):
+            # a listed token has holders enough: its rows go by class, so that none meets all of them; the others must be counted
+            for kind, use, cols in (("hot", c > 1, (s, h, place)), ("cold", c == 1, (h, s, place))):
                 order = np.flatnonzero(use)
-                order = order[np.argsort(h[order], kind="stable")]
-                cols = [x[order] for x in (h, s, n, place, score)]
-                if kind == "cold":
-                    out += _blocks.by_range(kind, cols, ranges)
-                elif len(order):
-                    out.append((kind, int(cols[1][0] % np.uint64(ranges)), _blocks.pack(*cols)))
+                order = order[np.argsort(cols[0][order], kind="stable")]
+                out += _blocks.by_range(kind, [x[order] for x in cols], ranges)
             return _blocks.batch(out)
 
         for b in _words.slices(batches):
             h, r, n, sig = _sets(b.column("text"), words)
-            h, r, place, c, listed = _ordered(h, r, n, percent, *shared.value, mask)
+            h, r, place, c = _ordered(h, r, n, percent, *shared.value, mask)
             use = _once(sig)[r]
             h, r, place, c = h[use], r[use], place[use], c[use]
-            held.append((h, sig[r].view("<u8"), n[r].astype("<u4"), place.astype("<u4"), (listed[r] * 1000).astype("<u4"), c))
+            held.append((h, sig[r].view("<u8"), place.astype("<u4"), c))
             size += len(h)
             if size > HELD // 2:
                 yield flush()
@@ -197,33 +189,31 @@ def _lists(docs: DataFrame, words: int, percent: int, ranges: int, mask: np.uint
         if size:
             yield flush()
 
-    def rows(cols: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.record_batch({k: pa.array(c.view(np.int64) if c.itemsize == 8 else c.astype(np.int64)) for k, c in zip(("token", "sig", "n", "place", "score"), cols, strict=True)})
-
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, _, blocks in _blocks.groups(batches):
-            if kind == "hot":
-                for cols in blocks:
-                    yield rows(cols)
-                continue
             cols = [np.concatenate(x) for x in zip(*blocks, strict=True)]
             order = np.lexsort((cols[1], cols[0]))
-            t, s = cols[0][order], cols[1][order]
-            new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
-            order, t = order[new], t[new]
-            alone = np.r_[True, t[1:] != t[:-1]] & np.r_[t[1:] != t[:-1], True]
-            yield rows([c[order[~alone]] for c in cols])
+            a, b = cols[0][order], cols[1][order]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            order, a = order[new], a[new]
+            if kind == "cold":
+                order = order[~(np.r_[True, a[1:] != a[:-1]] & np.r_[a[1:] != a[:-1], True])]
+            token, sig = (cols[0], cols[1]) if kind == "cold" else (cols[1], cols[0])
+            yield pa.record_batch({"token": pa.array(token[order].view(np.int64)), "sig": pa.array(sig[order].view(np.int64)), "place": pa.array(cols[2][order].astype(np.int64))})
 
-    return _blocks.shuffled(docs.select("text").mapInArrow(emit, _blocks.SCHEMA), ranges).mapInArrow(keep, _POSTING).distinct()
+    return _blocks.shuffled(docs.select("text").mapInArrow(emit, _blocks.SCHEMA), ranges).mapInArrow(keep, "token long, sig long, place long")
 
 
-def _partnered(lists: DataFrame, percent: int) -> DataFrame:
-    """Rows of classes that other classes share enough prefix tokens with, the first of them early enough."""
-    held = lists.groupBy("token").agg((F.min("sig") != F.max("sig")).alias("two")).filter("two").select("token")
-    rows = lists.join(held, "token", "left_semi")
-    smallest = F.floor((F.col("n") * percent + 99) / 100).cast("long")
-    enough = rows.groupBy("sig", "n").agg(F.count("*").alias("k"), F.min("place").alias("first")).filter((F.col("k") >= _sql_common(smallest, percent)) & (F.col("first") <= F.col("n") - smallest))
-    return rows.join(enough.select("sig"), "sig", "left_semi")
+def _partnered(lists: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Rows, with n and score, of classes that other classes share enough prefix tokens with, the first of them early enough; score: the share of its prefix that a class shares."""
+    n = F.col("n")
+    smallest = F.floor((n * percent + 99) / 100).cast("long")
+    # a class has no more rows than its prefix
+    own = Window.partitionBy("sig")
+    rows = lists.join(sketch.select("sig", "n").distinct(), "sig").withColumn("k", F.count("*").over(own)).withColumn("first", F.min("place").over(own))
+    rows = rows.filter((F.col("k") >= _sql_common(smallest, percent)) & (F.col("first") <= n - smallest))
+    score = F.floor(F.col("k") * 1000 / (n - smallest + _sql_common(n, percent))).cast("long")
+    return rows.select("token", "sig", "n", "place", score.alias("score"))
 
 
 #: Bits of the filter that keeps most sets without a partner from being sent; its size is fixed.
@@ -346,12 +336,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges, mask = max(4, -(-size // RANGE)), _mask(size)
     sketch = _store.table(sketches(docs, words), "sketches")
-    all_lists = _store.table(_lists(docs, words, percent, ranges, mask, *_frequent(docs, words, ranges, mask)), "lists")
-    # what falls out in the first turn may have been another's only partner
-    once = _store.table(_partnered(all_lists, percent), "partnered")
-    _store.drop(all_lists)
-    lists = _store.table(_partnered(once, percent), "twice")
-    _store.drop(once)
+    every = _store.table(_lists(docs, words, percent, ranges, mask, *_frequent(docs, words, ranges, mask)), "lists")
+    lists = _store.table(_partnered(every, sketch, percent), "partnered")
+    _store.drop(every)
     order = F.struct("score", "sig")
     heads = lists.groupBy("token").agg(F.min("sig").alias("one"), F.max("sig").alias("two"), F.max_by("sig", order).alias("leader"), F.max_by("n", order).alias("m"), F.max("score").alias("lead_score")).filter("one <> two").drop("one", "two")
     shared = _store.table(lists.join(heads, "token"), "shared")
@@ -360,7 +347,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sets = _store.table(_sets_of(docs, met, words), "sets")
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     stars = shared.filter((F.col("sig") != F.col("leader")) & near).groupBy(F.col("sig").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("hits"), F.min(F.least("n", "m")).alias("n"))
-    links = _store.table(_verify(stars.filter(F.col("hits") >= _sql_common(F.col("n"), percent)).select("a", "b"), sets, percent), "stars")
+    # the leader that a class shares most with; links with others are left to the matrix
+    best = stars.filter(F.col("hits") >= _sql_common(F.col("n"), percent)).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
+    links = _store.table(_verify(best, sets, percent), "stars")
 
     group = _store.table(_groups(shared, links), "groups")
     asked = _store.table(_met(shared, group, percent), "asked")
