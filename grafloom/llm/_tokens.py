@@ -1,7 +1,7 @@
 """Token ids of whole text columns under the public word-end BPE vocabulary.
 
-Its pre-tokenizer never joins what white space separates, so a text's ids are those of its words in
-turn. Each distinct word of a slice is tokenised once and kept in a bounded cache.
+Its pre-tokenizer never joins what white space separates, and no special token holds white space, so a
+text's ids are those of its words in turn; a special token's name in a text gives its id. Each distinct word of a slice is tokenised once and kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.full.encode_special_tokens = True
         self.letters = {b: c for b, c in _byte_letters().items()}
         self.part: dict[str, list[int]] = {}
         self._clear()

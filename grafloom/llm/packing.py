@@ -1,18 +1,21 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each task keeps a queue of token runs per source. A window of 2048 tokens is filled by turns: the
-source furthest behind its target share serves up to a quantum of tokens, documents being cut
-freely, and what a source is owed or has overdrawn carries on to the next window. Between partitions
-it carries too: a cheap pass over text sizes by partition and source gives what each source is owed
-where a partition begins. A partition's last, shorter run is cut at powers of two, which need no
-padding.
-
-Memory is bounded by the look-ahead and one slice of text; nothing is shuffled. Sources beyond the
-QUEUES - 1 largest share one queue; carried deficits are kept for at most BANDS places, evenly
-spaced among the partitions, so what is broadcast has a fixed bound.
-
-Defined cases: a null text is empty and gives its end id; a null source is a source; repeated rows
-are packed each; an empty table gives no pieces. Other columns are not read.
+Documents are dealt over partitions by a hash, so that every partition holds every large source in
+about its share, in whatever order the table lies. Each partition keeps a queue of token runs per source. A window of
+2048 tokens is filled by turns: the source furthest behind its target share serves up to a quantum of
+tokens, documents being cut freely, and what a source is owed or has overdrawn carries on to the next
+window. Between partitions it carries too: a pass over text sizes by partition and source gives, by sums
+over the partitions before it, what each source is owed where a partition begins (in tokens, at
+TOKENS_PER_BYTE). A partition's last, shorter run is cut at powers of two, which need no padding.
+
+Every source has a queue, in the partitions that hold any of it. What a partition must know of its
+sources, a row for each, travels with its documents and comes first; nothing is broadcast. Memory is
+bounded by the look-ahead and one slice of text.
+
+Defined cases: a null text is empty and gives its end id; a null source is a source; of sources that are
+equally far behind the first by name is served; repeated rows are packed each; an empty table gives no
+pieces; a very long text is tokenised whole, by one task, at about 40 bytes a byte of text. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -22,28 +25,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from grafloom.llm import _tokens, _words
+from grafloom.llm import _store, _tokens, _words
 from grafloom.llm._tokens import WINDOW, crc
 
-QUANTUM, LOOKAHEAD, QUEUES, BANDS = 512, 64 * WINDOW, 256, 4096
+QUANTUM, LOOKAHEAD, TOKENS_PER_BYTE = 512, 64 * WINDOW, 0.35
+#: Bytes of text of a partition: at most, and at least where there are fewer than three for each core.
+LARGE, SMALL = 128 << 20, 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 class _Packer:
-    def __init__(self, share: np.ndarray, owed: np.ndarray, base: int) -> None:
-        self.share, self.got = share, -owed
+    """The queues of one partition, with each source's share and what it is owed."""
+
+    def __init__(self, sources: list[tuple[str | None, float, float]], base: int) -> None:
+        sources = sorted(sources, key=lambda s: (s[0] is None, s[0] or ""))
+        self.queue = {s: i for i, (s, _, _) in enumerate(sources)}
+        self.share, self.got = (np.array([s[k] for s in sources], float) for k in (1, 2))
+        self.got = -self.got
         self.served, self.base, self.sequence = 0.0, base, 0
-        self.queues: list[deque] = [deque() for _ in share]
-        self.waiting, self.ready = 0, np.zeros(len(share), bool)
+        self.queues: list[deque] = [deque() for _ in sources]
+        self.waiting, self.ready = 0, np.zeros(len(sources), bool)
         self.rows: list[tuple] = []
 
-    def add(self, queue: int, doc_id: int | None, ids: np.ndarray) -> None:
-        self.queues[queue].append([doc_id, ids, 0])
-        self.ready[queue] = True
+    def add(self, source: str | None, doc_id: int | None, ids: np.ndarray) -> None:
+        q = self.queue[source]
+        self.queues[q].append([doc_id, ids, 0])
+        self.ready[q] = True
         self.waiting += len(ids)
 
     def fill(self, size: int) -> None:
@@ -68,58 +78,75 @@ class _Packer:
             self.waiting -= n
         self.sequence += 1
 
+    def finish(self) -> None:
+        while self.waiting >= WINDOW:
+            self.fill(WINDOW)
+        while self.waiting:
+            self.fill(1 << (self.waiting.bit_length() - 1))
+
     def flush(self) -> pa.RecordBatch:
         cols = list(zip(*self.rows, strict=True)) or [[]] * len(_COLUMNS)
         self.rows = []
         return pa.record_batch([pa.array(c, pa.int64()) for c in cols], _COLUMNS)
 
 
-def _plan(docs: DataFrame, weights: dict[str | None, float] | None) -> tuple[dict, np.ndarray, np.ndarray, int]:
-    """Queue of each source, target shares, what each queue is owed at each band's start, number of partitions."""
-    sizes = docs.groupBy(F.spark_partition_id().alias("p"), "source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n"))
-    largest = sizes.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES - 1).collect()
-    queue = {r.source: i for i, r in enumerate(largest)}
-    parts = (sizes.agg(F.max("p")).first()[0] or 0) + 1
-    names = docs.sparkSession.createDataFrame([(s, i, s is None) for s, i in queue.items()], "name string, q int, none boolean")
-    named = sizes.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name")), "left").select(F.floor(F.col("p") * F.lit(min(parts, BANDS)) / F.lit(parts)).alias("band"), F.coalesce("q", F.lit(QUEUES - 1)).alias("q"), "n")
-    table = np.zeros((min(parts, BANDS) + 1, QUEUES))
-    for r in named.groupBy("band", "q").agg(F.sum("n").alias("n")).collect():
-        table[int(r.band), r.q] += r.n
-    total = table.sum(0)
-    share = total / max(total.sum(), 1.0)
+def _plan(docs: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
+    """(p, source, share, owed): each source's target share, and the tokens it is owed where partition ``p`` begins.
+
+    Windows run over one row per partition and, for a source, over the partitions that hold it.
+    """
+    sizes = docs.groupBy("p", "source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("double").alias("n"))
+    sizes = _store.table(sizes, "sizes")
+    sources = sizes.groupBy("source").agg(F.sum("n").alias("w"))
     if weights is not None:
-        share = np.zeros(QUEUES)
-        for s, i in queue.items():
-            share[i] = weights.get(s, 0.0)
-        share /= max(share.sum(), 1e-12)
-    before = np.cumsum(table, 0) - table
-    # text bytes stand for tokens; the scale cancels in the order of debts but for a constant near this
-    return queue, share, 0.35 * (share * before.sum(1, keepdims=True) - before), parts
+        given = docs.sparkSession.createDataFrame([(s, s is None, float(w)) for s, w in weights.items()], "name string, none boolean, given double")
+        sources = sources.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("name")), "left").select("source", F.coalesce("given", F.lit(0.0)).alias("w"))
+    total = sources.agg(F.sum("w")).first()[0] or 1.0
+    share = sources.select(F.col("source").alias("s"), (F.col("w") / total).alias("share"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    whole = sizes.groupBy("p").agg(F.sum("n").alias("n")).select(F.col("p").alias("_p"), before(Window.orderBy("p")).alias("all_before"))
+    own = sizes.withColumn("own_before", before(Window.partitionBy("source").orderBy("p")))
+    rows = own.join(whole, F.col("p") == F.col("_p")).join(share, F.col("source").eqNullSafe(F.col("s")))
+    return rows.select("p", "source", "share", (TOKENS_PER_BYTE * (F.col("share") * F.col("all_before") - F.col("own_before"))).alias("owed"))
 
 
 def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, tokenizer: str | None = None) -> DataFrame:
     """Pieces of all documents; ``weights`` by source, if not their shares of the text."""
     docs = docs.select("doc_id", "text", "source")
-    queue, share, owed, parts = _plan(docs, weights)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // LARGE), min(3 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // SMALL)))
+    docs = docs.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
+    none = F.lit(None)
+    told = _plan(docs, weights).select("p", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "source", "share", "owed")
+    rows = told.unionByName(docs.select("p", F.lit(1).alias("kind"), "doc_id", "text", "source", none.cast("double").alias("share"), none.cast("double").alias("owed")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = TaskContext.get().partitionId()
-        packer = _Packer(share, owed[min(p * min(parts, BANDS) // parts, len(owed) - 1)], p << 33)
         tokens = _tokens.shared(tokenizer)
+        packer, at, sources = None, None, []
         for b in _words.slices(batches):
             ids, offs = tokens.ids(b.column("text"))
-            for i, (doc_id, source) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), strict=True)):
-                packer.add(queue.get(source, QUEUES - 1), doc_id, ids[offs[i] : offs[i + 1]])
-            while packer.waiting >= LOOKAHEAD:
+            cols = (b.column(c).to_pylist() for c in ("p", "kind", "doc_id", "source", "share", "owed"))
+            for i, (p, kind, doc_id, source, share, owed) in enumerate(zip(*cols, strict=True)):
+                if p != at:
+                    if packer is not None:
+                        packer.finish()
+                        yield packer.flush()
+                    packer, at, sources = None, p, []
+                if not kind:
+                    sources.append((source, share, owed))
+                    continue
+                if packer is None:
+                    packer = _Packer(sources, p << 33)
+                packer.add(source, doc_id, ids[offs[i] : offs[i + 1]])
+            while packer is not None and packer.waiting >= LOOKAHEAD:
                 packer.fill(WINDOW)
+            if packer is not None:
+                yield packer.flush()
+        if packer is not None:
+            packer.finish()
             yield packer.flush()
-        while packer.waiting >= WINDOW:
-            packer.fill(WINDOW)
-        while packer.waiting:
-            packer.fill(1 << (packer.waiting.bit_length() - 1))
-        yield packer.flush()
 
-    return docs.mapInArrow(run, SCHEMA)
+    return rows.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(run, SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

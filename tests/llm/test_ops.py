@@ -315,7 +315,7 @@ def test_packing(spark, docs, odd, none):
     import public_tokenizers
 
     full = Tokenizer.from_file(public_tokenizers.path(_tokens.VOCABULARY))
-    hard = ["don't I'll WE'RE it's", "ǅ İstanbul ﬁne café café x²", "a_b--c!!! 1234 ...", "日本語 текст   wide", "’quoted’ <|endoftext|> end", "ſtraße ÿ Ÿ"]
+    hard = ["don't I'll WE'RE it's", "ǅ İstanbul ﬁne café café x²", "a_b--c!!! 1234 ...", "日本語 текст   wide", "’quoted’ <|endoftext|> end", "x<|endoftext|>y <|ENDOFTEXT|> a<|startoftext|>", "ſtraße ÿ Ÿ"]
     extra = spark.createDataFrame([(50_000 + i, t, "en", "h", 1) for i, t in enumerate(hard)], DOC)
     rows = docs.unionByName(extra)
     pieces = collections.defaultdict(list)
@@ -323,7 +323,6 @@ def test_packing(spark, docs, odd, none):
     for p in packing.pack(rows).collect():
         pieces[p.doc_id].append(p)
         seqs[p.sequence_id].append((p.offset, p.length))
-    full.encode_special_tokens = True
     for r in rows.collect():
         ids, at = np.array([*full.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4"), 0
         for p in sorted(pieces[r.doc_id], key=lambda p: p.start):
@@ -340,6 +339,31 @@ def test_packing(spark, docs, odd, none):
     assert packing.pack(odd).filter("doc_id is null").agg(F.sum("length")).first()[0] == 4
 
 
+def test_windows_hold_the_target_shares(spark, docs):
+    # a table that lies in order of its sources, and a heavy one
+    rows = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('word', id % 97, ' '), 60) AS text", "CASE WHEN id < 1500 THEN 'a' WHEN id < 2500 THEN 'b' ELSE NULL END AS source")
+    rows = rows.repartitionByRange(4, "source", "doc_id")
+    share = {"a": 1 / 2, "b": 1 / 3, None: 1 / 6}
+    names = {r.doc_id: r.source for r in rows.select("doc_id", "source").collect()}
+    windows = collections.defaultdict(collections.Counter)
+    for p in packing.pack(rows).collect():
+        windows[p.sequence_id][names[p.doc_id]] += p.length
+    full = [w for w in windows.values() if sum(w.values()) == 2048]
+    assert len(full) > 0.8 * len(windows)
+    near = [all(abs(w[s] / 2048 - share[s]) < 0.3 for s in share) for w in full]
+    assert np.mean(near) > 0.95
+    # deficits carry: over the windows of a partition, every source keeps close to its share
+    by = collections.defaultdict(collections.Counter)
+    for q, w in windows.items():
+        by[q >> 33].update(w)
+    for w in by.values():
+        assert all(abs(w[s] / sum(w.values()) - share[s]) < 0.1 for s in share)
+    half = collections.Counter()
+    for p in packing.pack(rows, weights={"a": 1.0, "b": 1.0}).filter("sequence_id % 8589934592 < 20").collect():
+        half[names[p.doc_id]] += p.length
+    assert abs(half["a"] - half["b"]) < 0.1 * half["a"] and half[None] < 0.1 * half["a"]
+
+
 # 8: language
 
 
