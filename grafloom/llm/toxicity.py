@@ -2,15 +2,18 @@
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is cut into
 overlapping windows of a few words; a window's distance is its compressed length under the ordinary
-dictionary less that under the toxic one, in bytes. Toxic documents are mostly ordinary prose, so the toxic dictionary is
-trained on the words that toxic documents share and ordinary ones hardly use, and both end in the
-same prose and are equally long: ordinary text then compresses alike under both. The threshold comes
-from windows of other ordinary documents; a logistic curve over a document's window statistics,
-fitted on training documents that the dictionaries didn't see, turns distances into a score.
-
-Defined cases: null and empty texts have no windows and get the curve's value there; repeated
-rows each get a row; an empty table gives no rows; without labels of both kinds every score is 0.
-Extra columns are not read.
+dictionary less that under the toxic one, in bytes. Toxic documents are mostly ordinary prose, and a
+dictionary trained on all their windows learns that prose: the toxic samples are therefore the
+fragments, a word each, that toxic documents share and ordinary ones hardly use. The ordinary
+dictionary has as many bytes trained on ordinary windows in their place, and both end in the same
+prose: ordinary text then compresses alike under both. The threshold comes from windows of other
+ordinary documents; a logistic curve over a document's window statistics, fitted on training documents
+that the dictionaries didn't see, turns distances into a score.
+
+Defined cases: null and empty texts have no windows and get the curve's value there; equal texts get
+equal scores, and a score of just 0.5 counts as toxic; repeated rows each get a row; an empty table
+gives no rows; without labels of both kinds every score is 0; all windows of a very long text count,
+held by one task at about 60 bytes a byte of text. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -154,7 +157,7 @@ def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Mo
     marked = set()
     for w, n in use[0].items():
         expect = (use[1].get(w, 0) + 0.5) * docs[0] / docs[1]
-        if len(w) > 3 and n >= 3 and n - expect >= 4 * np.sqrt(expect + 1):
+        if n >= 3 and n - expect >= 4 * np.sqrt(expect + 1):
             marked.add(w)
     seeds = [b" " + w.encode() for t in toxic[1::2] for x in t.lower().split() if (w := x.strip(_EDGE)) in marked]
     del use
@@ -162,9 +165,10 @@ def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Mo
     trained = _dictionary(seeds, 1 << 13) if seeds else b" "
     # the trainer may leave out short words; the toxic side ends in the same prose, so ordinary text costs both the same
     toxic_dict = trained + b"".join(b" " + w.encode() for w in sorted(marked) if w.encode() not in trained) + b" " + prose
-    # bytes that no UTF-8 text holds keep both dictionaries as long, so that they differ in the toxic words alone
-    filler = np.random.default_rng(3).integers(0xF8, 0x100, len(toxic_dict) - len(prose), dtype=np.uint8).tobytes()
-    ordinary_dict = filler + prose
+    # ordinary windows in the place of the toxic fragments; what is short is filled up with bytes that no UTF-8 text holds
+    other = _dictionary(_samples(ordinary[1::2])[::2], 1 << 13)
+    filler = np.random.default_rng(3).integers(0xF8, 0x100, len(toxic_dict), dtype=np.uint8).tobytes()
+    ordinary_dict = (filler + other)[-(len(toxic_dict) - len(prose)) :] + prose
     toxic_by, ordinary_by = _compressor(toxic_dict), _compressor(ordinary_dict)
     found = []
     for texts in (toxic[::2], ordinary[::2]):
