@@ -411,40 +411,50 @@ def test_code_switch(docs):
 # 10: language model
 
 
-def test_language_model(spark, docs, odd, none):
+@pytest.mark.parametrize("order,prune", [(2, 0), (3, 0), (3, 1)])
+def test_language_model(spark, docs, odd, none, order, prune):
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(9000, None), (9001, ""), (9002, "Aa aA aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = language_model.fit(df, ~toxicity.held_out("doc_id", 7, 2))
+    model = language_model.fit(df, ~toxicity.held_out("doc_id", 7, 2), order, prune)
     toks = {i: [*WORD.findall(lower(t)), "</s>"] for i, t in rows}
     train = [w for i, w in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     c = collections.Counter(x for w in train for x in w)
-    pairs = collections.Counter(p for w in train for p in zip(["<s>", *w], w))
     n, v = sum(c.values()), len(c)
-    ctx, kinds, cont = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (a, b), k in pairs.items():
-        ctx[a] += k
-        kinds[a][min(k, 3) - 1] += 1
-        cont[b] += 1
-    disc = lambda counts: [0.0, *language_model._discounts(np.array([sum(x == k for x in counts) for k in (1, 2, 3, 4)]))]
-    d2, d1 = disc(pairs.values()), disc(cont.values())
-    left = sum(d1[min(x, 3)] for x in cont.values())
-
-    def p(a, b):
-        low = (max(cont[b] - d1[min(cont[b], 3)], 0) + left / (v + 1)) / len(pairs)
-        if not ctx[a]:
+    top = collections.Counter(g for w in train for g in zip(*(["<s>"] * (order - 1 - k) + w for k in range(order - 1)), w))
+    # counts by order, the highest first: its own counts, then the distinct words before
+    counts = {order: top}
+    for m in range(order - 1, 0, -1):
+        counts[m] = collections.Counter(g[1:] for g in counts[m + 1])
+    disc = {m: [0.0, *language_model._discounts(np.array([sum(x == k for x in counts[m].values()) for k in (1, 2, 3, 4)]))] for m in counts}
+    context = {m: collections.Counter() for m in counts}
+    kept = {m: collections.defaultdict(float) for m in counts}
+    for m in counts:
+        for g, k in counts[m].items():
+            context[m][g[:-1]] += k
+            if m < order or k > (prune if order == 3 else 0):
+                kept[m][g[:-1]] += k - disc[m][min(k, 3)]
+
+    def p(*g):
+        if not g:
+            return 1 / (v + 1)
+        m, low = len(g), p(*g[1:])
+        total, k = context[m][g[:-1]], counts[m][g]
+        if not total:
             return low
-        k = pairs[a, b]
-        return (max(k - d2[min(k, 3)], 0) + sum(d2[j + 1] * kinds[a][j] for j in range(3)) * low) / ctx[a]
+        own = k - disc[m][min(k, 3)] if k and (m < order or k > (prune if order == 3 else 0)) else 0.0
+        return own / total + (1 - kept[m][g[:-1]] / total) * low
 
     assert (model.total, model.vocabulary) == (n, v)
     for r in language_model.score(df, model).collect():
         w = toks[r.doc_id]
         assert r.n_tokens == len(w) and r.n_known == sum(c[x] > 0 for x in w)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w)))
-    assert sum(p("the", x) for x in [*c, "<never seen>"]) == pytest.approx(1.0)
+        grams = list(zip(*(["<s>"] * (order - 1 - k) + w for k in range(order - 1)), w))
+        assert r.score == pytest.approx(sum(math.log10(p(*g)) for g in grams))
+    some = max(top, key=lambda g: top[g])
+    assert sum(p(*some[:-1], x) for x in [*c, "<never seen>"]) == pytest.approx(1.0)
     assert language_model.score(odd, model).count() == len(ODD)
-    empty = language_model.fit(none, F.lit(True))
+    empty = language_model.fit(none, F.lit(True), order, prune)
     assert language_model.score(odd, empty).filter("doc_id = 2").first().score == 0.0
 
 
