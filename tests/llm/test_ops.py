@@ -124,7 +124,9 @@ def test_visits_reach_the_recall_on_dense_vectors():
         x[::every] = rng.normal(size=64) + 0.02 * rng.normal(size=(len(x[::every]), 64))
         x = unit(x)
         m = embedding_dedup.fit(x, 500_000, 0.98)
-        assert len(m.left) == len(m.right) == 64
+        assert len(m.left) == len(m.right) == embedding_dedup.centres(500_000) == 70
+        every = m.traverse(y := x[:50], 4900)
+        assert (m.rank(y, every[:, 700]) == 700).mean() > 0.9
         y, u = x[rng.integers(0, len(x), 500)], rng.normal(size=(500, 64))
         mate = m.cells(0.98 * y + np.sqrt(1 - 0.98**2) * unit(u - (u * y).sum(1, keepdims=True) * y))
         assert (m.traverse(y, m.visits) == mate[:, None]).any(1).mean() >= 0.98
@@ -242,6 +244,12 @@ def test_neighbours(vectors):
     assert neighbours.search(vectors.limit(0), F.lit(True)).count() == 0
     few = neighbours.search(vectors.filter("vec_id in (0, 1, 2)"), F.lit(True))
     assert few.count() == 6
+    # equal vectors: the smaller vec_id first; other lengths take no part; of one vec_id the smaller vector counts; long ones squeeze none
+    same = [(i, [1.0, 2.0] * 8, 0) for i in range(60)] + [(70, [1.0], 0), (71, [3e9] * 16, 0), (72, [-1.0] * 16, 0), (72, [9.0] * 16, 0)]
+    got = neighbours.search(vectors.sparkSession.createDataFrame(same, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    for q in (0, 20, 40):
+        assert [r.vec_id for r in got if r.query_id == q] == [71, *[i for i in range(21) if i != q][:19]]
+    assert not [r for r in got if r.vec_id in (70, 72)]
 
 
 def test_embedding_dedup(vectors):
