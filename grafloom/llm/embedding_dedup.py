@@ -11,9 +11,13 @@ Equal vectors are one class and expand to no pairs. Each pair of a query chunk a
 a bounded block, so that a crowded cell is many blocks; a block yields numbers of links and a
 spanning forest of them, not the pairs.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with a
-null label, link with nothing and are kept; rows of one vec_id are one row; empty tables give no
-rows. Extra columns are not read.
+The number of centres grows with the root of the number of vectors, and the sample with it, so that a
+cell of an even table holds about 100 vectors at every size.
+
+Defined cases: vectors that are null, zero, hold null or non-finite components or have another length than
+most, and rows with a null label, link with nothing and are kept; rows of one vec_id are one row, with
+the smallest of their labels and vectors; a component's smallest vec_id stands for it; empty tables give
+no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grafloom.llm import _links, _store
-from grafloom.llm._vectors import k_means, matrix, usable
+from grafloom.llm._vectors import alike, k_means, matrix, usable
 
-SAMPLE, RECALL, CHUNK = 6000, 0.995, 1000
+#: Sample rows (at least, and for each centre); recall of the traversal; members of a block.
+SAMPLE, EACH, RECALL, CHUNK = 6000, 32, 0.995, 1000
 #: Cells of all rows' traversals formed at once.
 SLICE = 1 << 20
 
@@ -62,10 +67,23 @@ class Model:
         rows = np.arange(len(x))[:, None]
         return ia[rows, i[first]] * len(self.right) + ib[rows, j[first]]
 
+    def rank(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """How many cells each row's traversal visits before ``cell``: those of a smaller sum."""
+        a, b = self._distances(x)
+        rows = np.arange(len(x))
+        rest = (a[rows, cell // len(self.right)] + b[rows, cell % len(self.right)])[:, None] - a
+        b = np.sort(b, axis=1)
+        return np.array([np.searchsorted(b[r], rest[r] - 1e-12).sum() for r in rows])
+
+
+def centres(rows: int) -> int:
+    """Of each half's codebook, for ``rows`` vectors."""
+    return max(2, int(np.sqrt(rows / 100)))
+
 
 def fit(x: np.ndarray, rows: int, least: float, seed: int = 0) -> Model:
     """Codebooks for ``rows`` vectors from unit sample rows, and the visits that meet RECALL at similarity ``least``."""
-    k = int(np.clip(np.sqrt(rows / 100), 2, 64))
+    k = centres(rows)
     h = x.shape[1] // 2
     m = Model(k_means(x[:, :h], k, seed=seed), k_means(x[:, h:], k, seed=seed + 1), 1)
     rng = np.random.default_rng(seed)
@@ -74,10 +92,8 @@ def fit(x: np.ndarray, rows: int, least: float, seed: int = 0) -> Model:
     u -= (u * y).sum(1, keepdims=True) * y
     u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
     mate = m.cells(least * y + np.sqrt(1 - least**2) * u)
-    cells = len(m.left) * len(m.right)
-    step = max(1, SLICE // cells)
-    rank = np.concatenate([(m.traverse(y[i : i + step], cells) == mate[i : i + step, None]).argmax(1) for i in range(0, len(y), step)])
-    m.visits = int(np.sort(rank)[int(RECALL * (len(rank) - 1))]) + 1
+    # one more than the sample's quantile, for ties
+    m.visits = min(len(m.left) * len(m.right), int(np.sort(m.rank(y, mate))[int(RECALL * (len(y) - 1))]) + 2)
     return m
 
 
@@ -98,19 +114,20 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def link(table: DataFrame, least: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label)."""
-    rows = table.select("vec_id", "label", "embedding").dropDuplicates(["vec_id"])
-    good = usable(rows).filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull())
+    least_row = F.min(F.struct(F.col("label").isNull().alias("a"), "label", F.col("embedding").isNull().alias("b"), "embedding")).alias("r")
+    rows = _store.table(table.select("vec_id", "label", "embedding").groupBy("vec_id").agg(least_row).select("vec_id", "r.label", "r.embedding"), "rows")
+    good = alike(usable(rows).filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull()))
     member = _store.table(good, "members")
     class_ = member.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     classes = _store.table(class_, "classes")
     size = classes.count()
     if not size:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = matrix(classes.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().column("embedding"))
+    sample = matrix(classes.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, EACH * centres(size))).toArrow().column("embedding"))
     model = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), size, least)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, SLICE // (len(model.left) * len(model.right)))
+        step = max(1, SLICE // int(min(len(model.left) * len(model.right), model.visits * (1 + np.log(model.visits)))))
         for whole in batches:
             for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                 x = matrix(b.column("embedding"))
