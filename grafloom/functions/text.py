@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 TOKEN = r"[^ \t\n\r\f]+"
 #: Control characters that cleaning removes.
 CONTROL = r"[\x00-\x1f\x7f-\x9f]"
+_EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 _UUID = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 
 
@@ -43,8 +44,13 @@ def stable_id(*columns: Column | str, seed: int = 0) -> Column:
     return F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *(F.coalesce(_col(c).cast("string"), F.lit("")) for c in columns)))
 
 
+def strip(text: Column | str) -> Column:
+    """Drop white space of every kind from both ends; SQL's own trim drops spaces only."""
+    return F.regexp_replace(_col(text), _EDGES, "")
+
+
 def strip_control(text: Column | str) -> Column:
-    return F.regexp_replace(F.trim(_col(text)), CONTROL, "")
+    return F.regexp_replace(strip(text), CONTROL, "")
 
 
 @F.pandas_udf(StringType())
@@ -55,12 +61,12 @@ def unescape(text: pd.Series) -> pd.Series:
 
 def clean(text: Column | str) -> Column:
     """Trim, resolve entities, drop control characters."""
-    return F.regexp_replace(unescape(F.trim(_col(text))), CONTROL, "")
+    return F.regexp_replace(unescape(strip(text)), CONTROL, "")
 
 
 def node_name(text: Column | str) -> Column:
     """A node's canonical name: upper case, trimmed, entities resolved."""
-    return unescape(F.trim(F.upper(_col(text))))
+    return unescape(strip(F.upper(_col(text))))
 
 
 def split_list(text: Column | str, separator: str = ",") -> Column:
@@ -117,7 +123,7 @@ def points(answer: Column | str) -> Column:
 
     Back-quotes and a leading ``json`` of a fenced answer are dropped.
     """
-    body = F.regexp_replace(F.trim(F.regexp_replace(_col(answer), "`", "")), "^json\\s*", "")
+    body = F.regexp_replace(strip(F.regexp_replace(_col(answer), "`", "")), "^json\\s*", "")
     read = F.from_json(body, "points array<struct<description: string, score: string>>")["points"]
     scored = F.transform(read, lambda p: F.struct(F.coalesce(p["description"], F.lit("")).alias("description"), F.coalesce(p["score"].try_cast("double").cast("int"), F.lit(0)).alias("score")))
     none = F.array(F.struct(F.lit("").alias("description"), F.lit(0).alias("score")))
@@ -131,7 +137,8 @@ def report_markdown(title: Column, summary: Column, findings: Column) -> Column:
 
 
 def csv_line(*columns: Column, separator: str = ",") -> Column:
-    return F.to_csv(F.struct(*columns), {"sep": separator})
+    """A line of CSV: a field is quoted where it holds the separator, a quote or a line break; null is empty."""
+    return F.to_csv(F.struct(*columns), {"sep": separator, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
 
 
 def _literal(s: str) -> str:

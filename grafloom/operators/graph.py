@@ -28,6 +28,14 @@ def pair_edges(units: DataFrame, text: str = "chunk", unit: str = "id") -> DataF
     return heads.select("unit", "source", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("target"))
 
 
+def entity_lists(units: DataFrame, text: str = "chunk", unit: str = "id") -> DataFrame:
+    """(unit, titles, n_pairs): each unit's distinct entities in order and the number of their pairs, from its own row."""
+    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENTITY), F.lit(0)), F.upper)))
+    own = units.select(F.col(unit).alias("unit"), found.alias("titles"))
+    n = F.size("titles").cast("long")
+    return own.withColumn("n_pairs", F.floor(n * (n - 1) / 2).cast("long"))
+
+
 def merge_edges(edges: DataFrame, weight: Column | None = None) -> DataFrame:
     """Undirected edges: source < target, summed weight, sorted distinct unit ids, comma-joined."""
     w = F.lit(1.0) if weight is None else weight
@@ -47,8 +55,9 @@ def merge_attribute(op: str, value: str, order: str, separator: str = ",", disti
     if op == "skip":
         return F.min_by(v, F.col(order))
     if op == "concat":
-        texts = F.transform(ordered, lambda x: x.cast("string"))
-        return F.array_join(F.array_sort(F.array_distinct(texts)) if distinct else texts, separator)
+        if distinct:
+            return F.array_join(F.array_sort(F.collect_set(v.cast("string"))), separator)
+        return F.array_join(F.transform(ordered, lambda x: x.cast("string")), separator)
     if op in ("sum", "max", "min"):
         return {"sum": F.sum, "max": F.max, "min": F.min}[op](F.coalesce(v, F.lit(0)))
     numbers = F.transform(ordered, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
@@ -85,6 +94,8 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.gettempdir()}/grafloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -30,15 +34,28 @@ def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "l2",
 def nearest_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` nearest rows of every query (query_id, query); queries are few and checked to be.
 
-    At most 1000 queries travel in one array with each row, so that rows are scanned once and only k
-    of a task and query are shuffled.
+    At most 1000 queries go to every task; rows are scanned once in batches, a task keeps its k nearest
+    of each query, and only those are shuffled.
     """
     asked = [(r.query_id, [float(x) for x in r.query]) for r in queries.limit(1001).collect()]
     if len(asked) > 1000:
         raise ValueError("over 1000 queries: search them by an index")
-    q = vectors.sparkSession.createDataFrame(asked, "query_id long, query array<double>")
-    pairs = vectors.filter(F.col("vector").isNotNull()).join(F.broadcast(q.agg(F.collect_list(F.struct("query_id", "query")).alias("_q"))))
-    rows = pairs.select("id", F.col("vector").cast("array<double>").alias("vector"), F.explode("_q").alias("q")).select(F.col("q.query_id").alias("query_id"), "id", squared_distance("vector", "q.query").alias("distance"))
+    asked = [(i, np.array(q)) for i, q in asked]
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = {i: pd.DataFrame({"id": [], "distance": []}) for i, _ in asked}
+        for f in frames:
+            x = np.array(f["vector"].tolist(), np.float64).reshape(len(f), -1)
+            for i, q in asked:
+                near = pd.DataFrame({"id": f["id"], "distance": ((x - q) ** 2).sum(1) if len(f) else []})
+                kept[i] = pd.concat([kept[i], near.nsmallest(k, "distance", keep="all")]).sort_values(["distance", "id"]).head(k)
+        for i, rows in kept.items():
+            if len(rows):
+                yield pd.DataFrame({"query_id": i, "id": rows["id"].astype("int64") if kind in ("bigint", "int") else rows["id"], "distance": rows["distance"].astype(float)})
+
+    kind = dict(vectors.dtypes)["id"]
+    own = vectors.filter(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    rows = own.mapInPandas(best, f"query_id long, id {kind}, distance double")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).filter(F.col("rank") <= k)
 
 
@@ -85,13 +102,16 @@ def network_flags(edges: DataFrame, selected: DataFrame, title: str = "title") -
     return out.withColumns({"src_in": F.col("_a").isNotNull(), "tgt_in": F.col("_b").isNotNull()}).drop("_a", "_b")
 
 
-def select_relationships(edges: DataFrame, selected: DataFrame, top_k: int, rank: str = "rank", title: str = "title") -> DataFrame:
-    """All edges inside the selection, then those that leave it by (links of the outside end, rank), at most top_k for each selected; with at most one such edge no limit."""
-    flagged = network_flags(edges, selected, title)
+def select_relationships(edges: DataFrame, selected: DataFrame, top_k: int, rank: str = "rank", title: str = "title", most: int | None = None) -> DataFrame:
+    """All edges inside the selection, then those that leave it by (links of the outside end, rank), at most top_k for each selected; with at most one such edge no limit.
+
+    ``most``: how many are selected, if known; they are then not counted, and broadcast as they are few.
+    """
+    flagged = network_flags(edges, selected if most is None else F.broadcast(selected), title)
     inside = flagged.filter("src_in AND tgt_in").withColumn("links", F.lit(0).cast("long"))
     out = flagged.filter("src_in <> tgt_in").withColumn("outside", F.when(F.col("src_in"), F.col("target")).otherwise(F.col("source"))).withColumn("inside", F.when(F.col("src_in"), F.col("source")).otherwise(F.col("target")))
     links = out.groupBy("outside").agg(F.countDistinct("inside").alias("links"))
-    budget = top_k * selected.select(title).distinct().count()
+    budget = top_k * (selected.select(title).distinct().count() if most is None else most)
     out = out.join(links, "outside").orderBy(F.desc("links"), F.desc(rank), "source", "target").limit(max(budget, 1)).drop("outside", "inside")
     return inside.unionByName(out)
 

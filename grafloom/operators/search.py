@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from grafloom.functions import text as T
-from grafloom.operators import context, retrieval
+from grafloom.operators import context, graph, retrieval
 
 Model = Callable[[str], str]
 
+# Fixed value: what is answered where no report bears on the question.
+NO_DATA = "I am sorry but I am unable to answer this question given the provided data."
 _MAP = "Answer from the reports below with JSON: {\"points\": [{\"description\": ..., \"score\": 0-100}]}.\nQuestion: {query}\n\n{context}"
 _REDUCE = "Combine the analysts' points into one answer of this form: {kind}.\nQuestion: {query}\n\n{context}"
 _LOCAL = "Answer from the tables below in this form: {kind}.\nQuestion: {query}\n\n{context}"
@@ -47,8 +49,8 @@ def global_context(reports: DataFrame, weights: DataFrame | None = None, budget:
     """(batch, text): reports (community, title, content, rank) of enough rank, in seeded order, cut at the budget."""
     rows = reports.filter(F.col("rank").isNotNull() & (F.col("rank") >= min_rank))
     rows = rows.join(weights, "community", "left") if weights is not None else rows.withColumn("weight", F.lit(0.0))
-    rows = rows.withColumn("line", F.concat_ws("|", "community", "title", F.col("weight").cast("string"), "content", F.col("rank").cast("string")))
-    rows = rows.withColumn("_o", F.row_number().over(Window.orderBy(F.xxhash64("community", F.lit(86)), "community"))).withColumn("_all", F.lit(0))
+    rows = rows.withColumn("line", T.csv_line(*(F.col(c).cast("string") for c in ("community", "title", "weight", "content", "rank")), separator="|"))
+    rows = graph.number_rows(rows.withColumn("_h", F.xxhash64("community", F.lit(86))), ["_h", "community"], "_o").withColumn("_all", F.lit(0)).drop("_h")
     cut = context.batches(rows, "_all", "_o", T.token_count("line"), budget).select(F.col("id").alias("_o"), "batch")
     order = F.struct((-F.coalesce("weight", F.lit(0.0))).alias("w"), (-F.col("rank").cast("double")).alias("r"), "community", "line")
     return rows.join(cut, "_o").groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), "\n").alias("text"))
@@ -68,7 +70,7 @@ def global_search(query: str, reports: DataFrame, model: Model, kind: str = "mul
     best = context.greedy_prefix(points.withColumn("line", line), T.token_count("line"), budget, [F.desc("score"), F.col("batch"), F.col("n")])
     text = "\n".join(r.line for r in best.orderBy(F.desc("score"), "batch", "n").select("line").collect())
     if not text:
-        return Result("I am sorry but I am unable to answer this question given the provided data.", "", {"points": points})
+        return Result(NO_DATA, "", {"points": points})
     return Result(model(_REDUCE.replace("{query}", query).replace("{kind}", kind).replace("{context}", text)), text, {"points": best})
 
 
@@ -95,13 +97,13 @@ def local_search(query: str, tables: dict[str, DataFrame], embed: Callable[[str]
 
     if "reports" in tables:
         hits = tables["nodes"].join(sel.select("title"), "title").groupBy("community").agg(F.countDistinct("title").alias("matches"))
-        section("Reports", tables["reports"].join(hits, "community"), F.concat_ws("|", "community", "content"), [F.desc("matches"), F.desc("rank"), F.col("community")], community_share)
+        section("Reports", tables["reports"].join(hits, "community"), T.csv_line(F.col("community").cast("string"), F.col("content"), separator="|"), [F.desc("matches"), F.desc("rank"), F.col("community")], community_share)
     rest = 1 - unit_share - community_share
-    section("Entities", sel, F.concat_ws("|", "id", "title", "description", F.col("rank").cast("string")), [F.col("ord")], rest / 2)
+    section("Entities", sel, T.csv_line(*(F.col(c).cast("string") for c in ("id", "title", "description", "rank")), separator="|"), [F.col("ord")], rest / 2)
     rel = retrieval.select_relationships(tables["relationships"], sel, k)
-    section("Relationships", rel, F.concat_ws("|", "source", "target", "description", F.col("weight").cast("string")), [F.desc(F.col("src_in") & F.col("tgt_in")), F.desc("links"), F.desc("rank"), F.col("source"), F.col("target")], rest / 2)
+    section("Relationships", rel, T.csv_line(*(F.col(c).cast("string") for c in ("source", "target", "description", "weight")), separator="|"), [F.desc(F.col("src_in") & F.col("tgt_in")), F.desc("links"), F.desc("rank"), F.col("source"), F.col("target")], rest / 2)
     near = rank_sources(tables["mentions"], tables.get("unit_edges", tables["mentions"].select("unit", F.col("title").alias("source"), F.col("title").alias("target")).limit(0)), sel.select("title", "ord"))
-    section("Sources", near.join(tables["units"], "unit"), F.concat_ws("|", "unit", "chunk"), [F.col("ord"), F.desc("n_relationships"), F.col("unit")], unit_share)
+    section("Sources", near.join(tables["units"], "unit"), T.csv_line(F.col("unit"), F.col("chunk"), separator="|"), [F.col("ord"), F.desc("n_relationships"), F.col("unit")], unit_share)
     text = "\n\n".join(parts)
     return Result(model(_LOCAL.replace("{query}", query).replace("{kind}", kind).replace("{context}", text)), text, used)
 

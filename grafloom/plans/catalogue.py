@@ -112,9 +112,15 @@ def document_hash_id(spark, d):
     return table(spark, d, "documents").select("doc_id", T.row_hash("lang", "source", "text").alias("id"), F.concat_ws("-", "source", "doc_id").alias("title"))
 
 
-@query("SELECT page_id, md5(regexp_replace(trim(html, ' '), '[\\x00-\\x1f\\x7f-\\x{9f}]', '', 'g')) AS body FROM pages")
+# white space of every kind, and the entities that occur in pages; ampersands last, as each is read once
+_STRIPPED = r"regexp_replace(chr(10) || chr(9) || ' ' || html || ' ' || chr(13) || chr(10), '^[\s\x0b\x1c-\x1f\x{85}\x{a0}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\x{a0}\p{Z}]+$', '', 'g')"
+_RESOLVED = f"replace(replace(replace(replace({_STRIPPED}, '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, md5(regexp_replace({_RESOLVED}, '[\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g')) AS body FROM pages")
 def clean_text(spark, d):
-    return table(spark, d, "pages").select("page_id", F.md5(T.strip_control("html")).alias("body"))
+    padded = F.concat(F.lit("\n\t "), "html", F.lit(" \r\n"))
+    return table(spark, d, "pages").select("page_id", F.md5(T.clean(padded)).alias("body"))
 
 
 @query("""SELECT o_orderkey, year(o_orderdate) AS year, month(o_orderdate) AS month, day(o_orderdate) AS day, hour(o_orderdate) AS hour, minute(o_orderdate) AS minute, second(o_orderdate) AS second FROM orders""")
@@ -164,10 +170,8 @@ def merge_ops(spark, d):
 @query(f"""WITH {_EDGES}, e AS (SELECT unit, string_agg(title, ',' ORDER BY title) AS entities, count(*) AS n FROM ent GROUP BY 1)
 SELECT u.unit, coalesce(e.entities, '') AS entity_ids, coalesce(n * (n - 1) // 2, 0)::BIGINT AS n_relationships FROM units u LEFT JOIN e USING (unit)""")
 def text_unit_backlinks(spark, d):
-    u = units(spark, d)
-    e = graph.rule_entities(u, "chunk", "unit").groupBy("unit").agg(F.array_join(F.array_sort(F.collect_set("title")), ",").alias("entity_ids"))
-    r = graph.pair_edges(u, "chunk", "unit").groupBy("unit").agg(F.count("*").alias("n_relationships"))
-    return u.select("unit").join(e, "unit", "left").join(r, "unit", "left").fillna("", ["entity_ids"]).fillna(0, ["n_relationships"])
+    e = graph.entity_lists(units(spark, d), "chunk", "unit")
+    return e.select("unit", F.array_join("titles", ",").alias("entity_ids"), F.col("n_pairs").alias("n_relationships"))
 
 
 @query(f"""WITH {_ENT} SELECT md5(title) AS id, title AS name, count(*) AS n_units, count(DISTINCT doc_id) AS n_docs, row_number() OVER (ORDER BY title) - 1 AS human_readable_id FROM ent GROUP BY title""")
@@ -223,11 +227,12 @@ l AS (SELECT outside, count(DISTINCT CASE WHEN si THEN source ELSE target END) A
 top AS (SELECT source, target, links, rank FROM o JOIN l USING (outside) ORDER BY links DESC, rank DESC, source, target LIMIT 200)
 SELECT source, target, 0::BIGINT AS links, rank FROM f WHERE si AND ti UNION ALL SELECT * FROM top""")
 def in_out_network(spark, d):
-    e = edges(spark, d)
-    deg = graph.degrees(e)
+    e = graph._written(edges(spark, d))
+    deg = graph._written(graph.degrees(e))
     ranked = graph.combined_degree(e, deg)
     sel = deg.orderBy(F.desc("degree"), "title").limit(20).select("title")
-    return retrieval.select_relationships(ranked, sel, 10).select("source", "target", "links", "rank")
+    # the budget counts what is selected, 20 or all if fewer
+    return retrieval.select_relationships(ranked, sel, 10, most=min(20, deg.count())).select("source", "target", "links", "rank")
 
 
 @query(f"""WITH {_DEGREE}, top AS (SELECT title FROM degree ORDER BY degree DESC, title LIMIT 1),
@@ -341,11 +346,11 @@ def prompt_cache_lookup(spark, d):
 @query(f"""WITH {_ENT}, r AS (SELECT unit, title, row_number() OVER (PARTITION BY unit ORDER BY title) AS n FROM ent)
 SELECT title, count(*) AS mentions, sum(n % 3)::DOUBLE AS weight FROM r GROUP BY 1""")
 def parse_tuple_records(spark, d):
-    """Answers written from the fixture's entities, parsed back; every third weight is no number."""
+    """Answers of a record a line, written from the fixture's entities, parsed back; every third weight is no number."""
     e = graph.rule_entities(units(spark, d), "chunk", "unit").withColumn("n", F.row_number().over(Window.partitionBy("unit").orderBy("title")))
     w = F.when(F.col("n") % 3 == 1, F.lit("x")).otherwise((F.col("n") % 3).cast("string"))
-    line = F.concat(F.lit('("entity"<|>'), F.lower("title"), F.lit("<|>WORD<|>seen)##(\"relationship\"<|>"), F.lower("title"), F.lit("<|>"), F.lower("title"), F.lit("<|>self<|>"), w, F.lit(")"))
-    answers = e.groupBy("unit").agg(F.concat(F.array_join(F.collect_list(line), "##"), F.lit("<|COMPLETE|>")).alias("answer"))
+    line = F.concat(F.lit('("entity"<|>'), F.lower("title"), F.lit("<|>WORD<|>\n seen)\n##\n(\"relationship\"<|>\t"), F.lower("title"), F.lit("<|>"), F.lower("title"), F.lit("<|>self<|>"), w, F.lit(")"))
+    answers = e.groupBy("unit").agg(F.concat(F.lit("\n"), F.array_join(F.collect_list(line), "\n##\n"), F.lit("\n<|COMPLETE|>\n")).alias("answer"))
     ents, rels = parsers.graph_records(answers, "unit")
     a = ents.groupBy("title").agg(F.count("*").alias("mentions"))
     b = rels.groupBy(F.col("source").alias("title")).agg(F.sum("weight").alias("weight"))
