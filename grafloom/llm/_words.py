@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ _LOWER[65:91] += 32
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_STEP = 1 << 21
+_STEP = 1 << 20
 _POW: dict[str, np.ndarray] = {}
 
 
@@ -70,15 +71,27 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = _STEP) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about ``most`` bytes of text, or one row."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        _, offs = buffers(b.column(column))
-        lo = 0
-        while lo < b.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
-            yield b.slice(lo, hi - lo)
-            lo = hi
+    try:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, offs = buffers(b.column(column))
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
+                yield b.slice(lo, hi - lo)
+                lo = hi
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than GNU's
+        pass
 
 
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

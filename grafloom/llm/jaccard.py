@@ -13,10 +13,10 @@ nothing, however large its family. How often a token occurs is counted over all
 any order leaves the join exact, so the list that tells it is bounded (HOT most frequent ones) and
 its keys are cut to so many bits that few tokens fall together.
 
-Groups. In each token's list the document whose prefix is shared most is its leader; documents that
-link with a leader form a component at once. All documents are then partitioned into groups of up to
-about BLOCK of like size: members of one component, or unlinked ones that have the same nearest
-leader. The matrix has a row for each token and group: the places and sizes of the members that hold
+Groups. In each token's list the document that has the fewest rarer tokens is its leader; documents that
+link with the leader of most of their tokens form a component with it at once. All documents are then
+partitioned into groups of up to about BLOCK of like size: members of one component, or unlinked ones
+that have the same leader. The matrix has a row for each token and group: the places and sizes of the members that hold
 it. A document meets a group of another component if the rows that they share are k or more and stand
 early enough; the group is opened only if the union of its members' sets holds alpha of the document's
 tokens: no member can share more.
@@ -42,6 +42,8 @@ from grafloom.llm import _blocks, _links, _store, _words
 
 #: Most frequent tokens that are put last; bytes of text per range of the key space; members of a group; queries that meet it in a task.
 HOT, RANGE, BLOCK, QUERIES = 1 << 20, 16 << 20, 64, 512
+#: Holders from which a token's list is not put together in one task: it has no leader, and its rows lie by class.
+LONG = 50_000
 #: Keys or postings that a task holds before it sends them.
 HELD = 3 << 19
 #: Groups hold sets of which the largest is at most about so many times the smallest.
@@ -160,7 +162,7 @@ def _ordered(h: np.ndarray, r: np.ndarray, n: np.ndarray, percent: int, hot: np.
 
 
 def _lists(docs: DataFrame, words: int, percent: int, ranges: int, mask: np.uint64, hot: np.ndarray, often: np.ndarray) -> DataFrame:
-    """(token, sig, place) for prefix tokens that more than one class may hold."""
+    """(token, sig, place, leader) for prefix tokens that more than one class may hold."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, often))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +171,7 @@ def _lists(docs: DataFrame, words: int, percent: int, ranges: int, mask: np.uint
         def flush() -> pa.RecordBatch:
             h, s, place, c = (np.concatenate(x) for x in zip(*held, strict=True))
             out = []
-            # a listed token has holders enough: its rows go by class, so that none meets all of them; the others must be counted
-            for kind, use, cols in (("hot", c > 1, (s, h, place)), ("cold", c == 1, (h, s, place))):
+            for kind, use, cols in (("long", c > LONG, (s, h, place)), ("list", c <= LONG, (h, s, place))):
                 order = np.flatnonzero(use)
                 order = order[np.argsort(cols[0][order], kind="stable")]
                 out += _blocks.by_range(kind, [x[order] for x in cols], ranges)
@@ -191,29 +192,33 @@ def _lists(docs: DataFrame, words: int, percent: int, ranges: int, mask: np.uint
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, _, blocks in _blocks.groups(batches):
-            cols = [np.concatenate(x) for x in zip(*blocks, strict=True)]
-            order = np.lexsort((cols[1], cols[0]))
-            a, b = cols[0][order], cols[1][order]
+            a, b, place = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            # copies of a class have equal places
+            order = np.lexsort((b, place, a))
+            a, b, place = a[order], b[order], place[order]
             new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            order, a = order[new], a[new]
-            if kind == "cold":
-                order = order[~(np.r_[True, a[1:] != a[:-1]] & np.r_[a[1:] != a[:-1], True])]
-            token, sig = (cols[0], cols[1]) if kind == "cold" else (cols[1], cols[0])
-            yield pa.record_batch({"token": pa.array(token[order].view(np.int64)), "sig": pa.array(sig[order].view(np.int64)), "place": pa.array(cols[2][order].astype(np.int64))})
+            a, b, place = a[new], b[new], place[new]
+            if kind == "list":
+                first = np.r_[True, a[1:] != a[:-1]]
+                leader = b[np.flatnonzero(first)][np.cumsum(first) - 1]
+                two = ~(first & np.r_[a[1:] != a[:-1], True])
+                token, sig, place, leader = a[two], b[two], place[two], pa.array(leader[two].view(np.int64))
+            else:
+                token, sig, leader = b, a, pa.nulls(len(a), pa.int64())
+            yield pa.record_batch({"token": pa.array(token.view(np.int64)), "sig": pa.array(sig.view(np.int64)), "place": pa.array(place.astype(np.int64)), "leader": leader})
 
-    return _blocks.shuffled(docs.select("text").mapInArrow(emit, _blocks.SCHEMA), ranges).mapInArrow(keep, "token long, sig long, place long")
+    return _blocks.shuffled(docs.select("text").mapInArrow(emit, _blocks.SCHEMA), ranges).mapInArrow(keep, "token long, sig long, place long, leader long")
 
 
 def _partnered(lists: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """Rows, with n and score, of classes that other classes share enough prefix tokens with, the first of them early enough; score: the share of its prefix that a class shares."""
+    """Rows, with n, of classes that other classes share enough prefix tokens with, the first of them early enough."""
     n = F.col("n")
     smallest = F.floor((n * percent + 99) / 100).cast("long")
     # a class has no more rows than its prefix
     own = Window.partitionBy("sig")
     rows = lists.join(sketch.select("sig", "n").distinct(), "sig").withColumn("k", F.count("*").over(own)).withColumn("first", F.min("place").over(own))
     rows = rows.filter((F.col("k") >= _sql_common(smallest, percent)) & (F.col("first") <= n - smallest))
-    score = F.floor(F.col("k") * 1000 / (n - smallest + _sql_common(n, percent))).cast("long")
-    return rows.select("token", "sig", "n", "place", score.alias("score"))
+    return rows.select("token", "sig", "n", "place", "leader")
 
 
 #: Bits of the filter that keeps most sets without a partner from being sent; its size is fixed.
@@ -299,9 +304,16 @@ def _open(asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy(*_GROUP, "turn").cogroup(asked.groupBy(*(f"q_{g}" for g in _GROUP), "q_turn")).applyInArrow(run, "a long, b long")
 
 
-def _groups(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _leaders(lists: DataFrame) -> DataFrame:
+    """(sig, n, anchor, hits): the leader of most of each class's tokens, without one a token of its own, and of how many."""
+    each = lists.groupBy("sig", "n", "leader").agg(F.count("*").alias("hits"), F.min("token").alias("token"))
+    order = F.struct(F.col("leader").isNotNull(), "hits", "leader")
+    best = each.groupBy("sig", "n").agg(F.max_by(F.struct(F.coalesce("leader", "token").alias("anchor"), F.when(F.col("leader").isNotNull(), F.col("hits")).otherwise(0).alias("hits")), order).alias("best"))
+    return best.select("sig", "n", "best.anchor", "best.hits")
+
+
+def _groups(near: DataFrame, links: DataFrame) -> DataFrame:
     """sig, component, and the group that each class is put into."""
-    near = lists.groupBy("sig", "n").agg(F.max_by("leader", F.struct("lead_score", "leader")).alias("anchor"))
     parts = _store.table(_links.components(links), "stars_parts")
     named = near.join(parts.toDF("sig", "component"), "sig", "left").join(parts.toDF("anchor", "anchored"), "anchor", "left")
     named = named.select("sig", F.coalesce("component", "sig").alias("component"), F.coalesce("component", "anchored", "anchor").alias("family"), F.col("component").isNull().alias("loose"), F.floor(F.log(F.col("n")) / float(np.log(LIKE))).alias("bucket"))
@@ -339,26 +351,20 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     every = _store.table(_lists(docs, words, percent, ranges, mask, *_frequent(docs, words, ranges, mask)), "lists")
     lists = _store.table(_partnered(every, sketch, percent), "partnered")
     _store.drop(every)
-    order = F.struct("score", "sig")
-    heads = lists.groupBy("token").agg(F.min("sig").alias("one"), F.max("sig").alias("two"), F.max_by("sig", order).alias("leader"), F.max_by("n", order).alias("m"), F.max("score").alias("lead_score")).filter("one <> two").drop("one", "two")
-    shared = _store.table(lists.join(heads, "token"), "shared")
-    _store.drop(lists)
-    met = _store.table(shared.select("sig").distinct(), "met")
-    sets = _store.table(_sets_of(docs, met, words), "sets")
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    stars = shared.filter((F.col("sig") != F.col("leader")) & near).groupBy(F.col("sig").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("hits"), F.min(F.least("n", "m")).alias("n"))
-    # the leader that a class shares most with; links with others are left to the matrix
-    best = stars.filter(F.col("hits") >= _sql_common(F.col("n"), percent)).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
-    links = _store.table(_verify(best, sets, percent), "stars")
-
-    group = _store.table(_groups(shared, links), "groups")
-    asked = _store.table(_met(shared, group, percent), "asked")
+    near = _store.table(_leaders(lists), "leaders")
+    sets = _store.table(_sets_of(docs, near.select("sig"), words), "sets")
+    smallest = F.floor((F.col("n") * percent + 99) / 100).cast("long")
+    stars = near.filter((F.col("sig") != F.col("anchor")) & (F.col("hits") >= _sql_common(smallest, percent)))
+    links = _store.table(_verify(stars.select(F.col("sig").alias("a"), F.col("anchor").alias("b")), sets, percent), "stars")
+
+    group = _store.table(_groups(near, links), "groups")
+    asked = _store.table(_met(lists, group, percent), "asked")
     key = [f"q_{g}" for g in _GROUP]
     turns = asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
     asked = asked.join(turns, key).withColumn("q_turn", F.pmod(F.xxhash64("q"), F.col("turns"))).join(sets.toDF("q", "q_tokens"), "q").select("q", *key, "q_turn", "q_tokens")
     members = group.join(turns.toDF(*_GROUP, "turns"), _GROUP).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).join(sets, "sig").select(*_GROUP, "turn", "sig", "tokens")
     links = _store.table(links.unionByName(_open(asked, members, percent)), "all_links")
-    for done in (shared, sets, group):
+    for done in (lists, sets, group):
         _store.drop(done)
 
     parts = _store.table(_links.components(links), "parts")

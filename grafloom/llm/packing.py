@@ -33,6 +33,8 @@ from grafloom.llm._tokens import WINDOW, crc
 QUANTUM, LOOKAHEAD, TOKENS_PER_BYTE = 512, 64 * WINDOW, 0.35
 #: Bytes of text of a partition: at most, and at least where there are fewer than three for each core.
 LARGE, SMALL = 128 << 20, 4 << 20
+#: Bytes of text that are tokenised at once.
+SLICE = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -123,7 +125,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens.shared(tokenizer)
         packer, at, sources = None, None, []
-        for b in _words.slices(batches):
+        for b in _words.slices(batches, most=SLICE):
             ids, offs = tokens.ids(b.column("text"))
             cols = (b.column(c).to_pylist() for c in ("p", "kind", "doc_id", "source", "share", "owed"))
             for i, (p, kind, doc_id, source, share, owed) in enumerate(zip(*cols, strict=True)):
