@@ -123,7 +123,10 @@ def points(answer: Column | str) -> Column:
 
     Back-quotes and a leading ``json`` of a fenced answer are dropped.
     """
+    from grafloom.functions import repair
+
     body = F.regexp_replace(strip(F.regexp_replace(_col(answer), "`", "")), "^json\\s*", "")
+    body = repair.json_object(body)
     read = F.from_json(body, "points array<struct<description: string, score: string>>")["points"]
     scored = F.transform(read, lambda p: F.struct(F.coalesce(p["description"], F.lit("")).alias("description"), F.coalesce(p["score"].try_cast("double").cast("int"), F.lit(0)).alias("score")))
     none = F.array(F.struct(F.lit("").alias("description"), F.lit(0).alias("score")))

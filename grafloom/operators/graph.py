@@ -68,6 +68,24 @@ def merge_attribute(op: str, value: str, order: str, separator: str = ",", disti
     raise ValueError(f"unknown operation: {op}")
 
 
+def merge_rule(rule: str | dict) -> dict:
+    """A merge rule in full: operation, separator (a comma) and whether values are distinct (they are)."""
+    given = {"operation": rule} if isinstance(rule, str) else dict(rule)
+    return {"operation": given["operation"], "separator": given.get("separator", ","), "distinct": given.get("distinct", True)}
+
+
+def merge_by(rows: DataFrame, keys: list[str], rules: dict[str, str | dict], order: str) -> DataFrame:
+    """Rows of equal keys merged, each column by its rule."""
+    full = {c: merge_rule(r) for c, r in rules.items()}
+    return rows.groupBy(*keys).agg(*(merge_attribute(r["operation"], c, order, r["separator"], r["distinct"]).alias(c) for c, r in full.items()))
+
+
+def with_positions(nodes: DataFrame, level: int = 0) -> DataFrame:
+    """Nodes of all levels with the place (x, y) that their id has on one level; ids that aren't on it are left out."""
+    placed = nodes.filter(F.col("level") == level).select(F.col("id").alias("top_level_node_id"), "x", "y").distinct()
+    return nodes.drop("x", "y").join(placed, F.col("id") == F.col("top_level_node_id"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(title, degree), a loop counting twice; one pass over the edges."""
     return edges.select(F.explode(F.array("source", "target")).alias("title")).groupBy("title").agg(F.count("*").alias("degree"))

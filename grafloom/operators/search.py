@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from grafloom.functions import text as T
-from grafloom.operators import context, graph, retrieval
+from grafloom.operators import context, graph, retrieval, selection
 
 Model = Callable[[str], str]
 
@@ -79,7 +79,8 @@ def local_search(query: str, tables: dict[str, DataFrame], embed: Callable[[str]
 
     ``tables``: entities (id, title, description, rank, vector), relationships (source, target,
     description, weight, rank), mentions (unit, title), units (unit, chunk), and optionally nodes
-    (title, level, community) with reports (community, content, rank).
+    (title, level, community) with reports (community, content, rank), and claims (id, subject_id,
+    object_id, status, description).
     """
     if unit_share + community_share > 1:
         raise ValueError("the shares of the budget are over 1")
@@ -99,15 +100,43 @@ def local_search(query: str, tables: dict[str, DataFrame], embed: Callable[[str]
         hits = tables["nodes"].join(sel.select("title"), "title").groupBy("community").agg(F.countDistinct("title").alias("matches"))
         section("Reports", tables["reports"].join(hits, "community"), T.csv_line(F.col("community").cast("string"), F.col("content"), separator="|"), [F.desc("matches"), F.desc("rank"), F.col("community")], community_share)
     rest = 1 - unit_share - community_share
-    section("Entities", sel, T.csv_line(*(F.col(c).cast("string") for c in ("id", "title", "description", "rank")), separator="|"), [F.col("ord")], rest / 2)
+    facts = 1 if "claims" in tables else 0
+    section("Entities", sel, T.csv_line(*(F.col(c).cast("string") for c in ("id", "title", "description", "rank")), separator="|"), [F.col("ord")], rest / (2 + 2 * facts))
     rel = retrieval.select_relationships(tables["relationships"], sel, k)
     section("Relationships", rel, T.csv_line(*(F.col(c).cast("string") for c in ("source", "target", "description", "weight")), separator="|"), [F.desc(F.col("src_in") & F.col("tgt_in")), F.desc("links"), F.desc("rank"), F.col("source"), F.col("target")], rest / 2)
+    if "claims" in tables:
+        claims = selection.candidate_claims(sel, tables["claims"]).join(sel.select(F.col("title").alias("subject_id"), "ord"), "subject_id")
+        section("Claims", claims, T.csv_line(*(F.col(c).cast("string") for c in ("id", "subject_id", "object_id", "status", "description")), separator="|"), [F.col("ord"), F.col("id")], rest / 4)
     near = rank_sources(tables["mentions"], tables.get("unit_edges", tables["mentions"].select("unit", F.col("title").alias("source"), F.col("title").alias("target")).limit(0)), sel.select("title", "ord"))
     section("Sources", near.join(tables["units"], "unit"), T.csv_line(F.col("unit"), F.col("chunk"), separator="|"), [F.col("ord"), F.desc("n_relationships"), F.col("unit")], unit_share)
     text = "\n\n".join(parts)
     return Result(model(_LOCAL.replace("{query}", query).replace("{kind}", kind).replace("{context}", text)), text, used)
 
 
+def local_engine(tables: dict[str, DataFrame], embed: Callable[[str], list[float]], model: Model, **settings) -> Callable[[str], Result]:
+    """A local search over the tables of a built index: entities, relationships, final_text_units, nodes, community_reports, covariates."""
+    e = tables["entities"].withColumnRenamed("name", "title")
+    units = tables["final_text_units"]
+    given = {
+        "entities": e.select("id", "title", "description", "rank", "vector"),
+        "relationships": tables["relationships"],
+        "mentions": e.select(F.explode("text_unit_ids").alias("unit"), "title"),
+        "unit_edges": tables["relationships"].select(F.explode("text_unit_ids").alias("unit"), "source", "target"),
+        "units": units.select(F.col("id").alias("unit"), F.col("text").alias("chunk")),
+        "nodes": tables["nodes"],
+        "reports": tables["community_reports"].select("community", F.col("report").alias("content"), F.col("level").alias("rank")),
+    }
+    if "covariates" in tables:
+        given["claims"] = tables["covariates"].withColumn("subject_id", F.upper("subject_id"))
+    return lambda query, **more: local_search(query, given, embed, model, **(settings | more))
+
+
+def global_engine(tables: dict[str, DataFrame], model: Model, **settings) -> Callable[[str], Result]:
+    """A global search over the reports of a built index, ranked by level."""
+    reports = tables["community_reports"].select("community", F.concat(F.lit("Community "), "community").alias("title"), F.col("report").alias("content"), F.col("level").alias("rank"))
+    return lambda query, **more: global_search(query, reports, model, **(settings | more))
+
+
 def questions(history: list[str], found: Result, model: Model, n: int = 5) -> list[str]:
     """Further questions: the last of the history is the query, the others are its past."""
     *past, last = history or [""]

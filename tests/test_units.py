@@ -212,3 +212,120 @@ def test_incremental(spark, tmp_path):
     make = lambda: calls.append(1) or old
     incremental.resume(spark, str(tmp_path / "r"), make)
     assert incremental.resume(spark, str(tmp_path / "r"), make).count() == 1 and len(calls) == 1
+
+
+def test_answers_of_a_record_a_line(spark):
+    a = '\n("entity"<|> Ann\n<|>PERSON<|>a)\n##\n\t("entity"<|>Bob<|>PERSON<|>b &amp; c)\r\n##\n("relationship"<|>Ann<|>Bob<|>knows<|>2 )\n##\n<|COMPLETE|>\n'
+    ents, rels = parsers.graph_records(spark.createDataFrame([("u", a)], "id string, answer string"), "id")
+    assert {r.title for r in ents.collect()} == {"ANN", "BOB"} and [(r.source, r.target, r.weight) for r in rels.collect()] == [("ANN", "BOB", 2.0)]
+    r = spark.createDataFrame([("\n foo  \t",)], "t string").select(T.clean("t"), T.node_name("t")).first()
+    assert tuple(r) == ("foo", "FOO")
+
+
+def test_resume_needs_whole_tables(spark, tmp_path):
+    store = tables.TableStore(spark, str(tmp_path))
+    (tmp_path / "t.parquet" / "_temporary").mkdir(parents=True)
+    assert not store.has("t")
+    store.set("t", spark.range(3))
+    assert store.has("t") and store.get("t").count() == 3
+    store.clear()
+    assert not store.has("t")
+
+
+def test_batches_of_a_null_key(spark):
+    rows = spark.createDataFrame([(k, i, 3) for k in (1, None) for i in range(4)], "k int, i int, s int")
+    got = {(r.by, r.id): r.batch for r in context.batches(rows, "k", "i", F.col("s"), 6).collect()}
+    assert [got[1, i] for i in range(4)] == [0, 0, 1, 1] == [got[None, i] for i in range(4)]
+
+
+def test_prefix_over_ranges(spark):
+    rows = spark.range(1000).withColumn("k", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 3)).repartition(7)
+    got = context.greedy_prefix(rows, F.lit(2), 101, [F.desc("id")], ["k"], 1)
+    assert collections.Counter(r.k for r in got.collect()) == {None: 50, 1: 50, 2: 50} and got.filter("k = 1").agg(F.max("id"), F.max("used")).first()[:] == (997, 101)
+    assert context.greedy_prefix(rows, F.lit(2), 10, [F.col("id")]).count() == 5
+
+
+def test_contexts_are_csv():
+    nodes = {"A": (1, 'says "x", twice'), "B": (2, "plain\nline")}
+    text = context.sort_context([(9, "A", "B", "a,b", 3)], nodes, {"A": [(5, "A", "c,d")]}, None)
+    assert '1,A,"says ""x"", twice"' in text and '2,B,"plain\nline"' in text and '9,A,B,"a,b",3' in text and '5,A,"c,d"' in text
+    many = [(i, "A", "B", f"edge {i}", 10 - i) for i in range(10)]
+    cut = context.sort_context(many, nodes, {}, 20)
+    assert 0 < cut.count("edge") < 10 and len(cut.split()) <= 20 and context.sort_context(many, nodes, {}, 1) == ""
+
+
+def test_json_repair(spark):
+    from grafloom.functions import repair
+
+    cases = {'{"a":1}': '{"a":1}', 'x {"a": 1,} y': '{"a": 1}', '{a: 1, \'b\': \'c\'}': '{"a": 1, "b": "c"}', '{"a": [1, 2': '{"a": [1, 2]}', "none": "{}", '```json\n{"a":"b\nc"}\n```': '{"a":"b c"}', "[1]": "{}"}
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "a string").select("a", repair.json_object("a").alias("r")).collect()
+    assert {r.a: r.r for r in rows} == cases | {None: "{}"}
+
+
+def test_selections(spark):
+    from grafloom.operators import readers, selection
+
+    e = spark.createDataFrame([("1", "A", 3, [0.0, 1.0], ["u"], ["7"]), ("2", "B", 9, [0.0, 1.1], ["v"], ["8"]), ("3", "C", 5, [9.0, 9.0], ["v"], []), ("4", "D", 1, None, [], [])], "id string, title string, rank int, vector array<double>, text_unit_ids array<string>, community_ids array<string>")
+    assert [r.title for r in selection.neighbours_by_embedding(e, "A", 1).collect()] == ["B"] and selection.neighbours_by_embedding(e, "D").count() == 0
+    assert [r.id for r in selection.candidate_units(e.filter("id = '1'"), spark.createDataFrame([("u",), ("v",)], "id string")).collect()] == ["u"]
+    assert selection.candidate_reports(e, spark.createDataFrame([(7,), (9,)], "community int")).count() == 1
+    assert selection.by_key(e, "id", "2").first().title == "B" and selection.by_name(e, "C").count() == 1 and selection.name_search(e, "  ").count() == 0
+    dashed = "12345678-1234-1234-1234-123456789abc"
+    assert selection.by_key(spark.createDataFrame([(dashed.replace("-", ""),)], "id string"), "id", dashed).count() == 1
+    first = selection.first_values(spark.createDataFrame([("k", 1, None, "x"), ("k", 2, "a", None)], "k string, o int, a string, b string"), ["k"], [F.col("o")]).first()
+    assert (first.a, first.b) == ("a", "x")
+    texts = spark.createDataFrame([(str(i), f"t{i}") for i in range(9)], "id string, text string")
+    assert [r.id for r in selection.sample(texts, "top", 2).collect()] == ["0", "1"] and selection.sample(texts, "random", 4).count() == 4
+    embed = lambda df: df.withColumn("vector", F.array(F.col("id").cast("double")))
+    assert {r.id for r in selection.sample(texts, "auto", k=1, embed=embed).collect()} == {"4"}
+    assert selection.context_records({"entities": e})["claims"] == []
+    read = readers.read_objects(e, "entity", attributes=["rank"]).orderBy("id").first()
+    assert read.short_id == "0" and read.attributes == {"rank": "3"} and read.description is None
+    with pytest.raises(KeyError):
+        readers.read_objects(e.drop("title"), "entity")
+
+
+def test_tuning(spark):
+    from grafloom.operators import tuning
+
+    assert tuning.pack_examples([("a b", "c")] * 5, 14, least=1).count("Example") == 2
+    docs = spark.createDataFrame([(1, "some words here {domain}")], "id long, text string")
+    client = models.Canned({"Name the field": "law", "Name the language": "English", "Describe an expert": "a judge", "List the types": "court, law ", "Answer in English. List": "(x)"}, "told")
+    p = tuning.tune(docs, client)
+    assert "types court, law" in p.extraction and "(x)" in p.extraction and "{text}" in p.extraction and "{context}" in p.reports
+
+
+def test_graphml_and_graph_documents(spark, tmp_path):
+    nodes = spark.createDataFrame([('a "<&', "x & y"), ("b", "z")], "title string, description string")
+    links = spark.createDataFrame([('a "<&', "b", 2)], "source string, target string, weight int")
+    graph.to_graphml(nodes, links).select("xml").write.text(str(tmp_path / "g"))
+    n, e = tables.read_graphml(spark, str(tmp_path / "g"))
+    assert {(r.title, r.data["description"]) for r in n.collect()} == {('a "<&', "x & y"), ("b", "z")} and e.first().data == {"weight": "2"}
+    tables.save_graph(tables.graph_document(nodes, links), str(tmp_path / "doc"))
+    n, e = tables.read_graph(spark, str(tmp_path / "doc"))
+    assert n.count() == 2 and e.first().weight == 2
+    with pytest.raises(ValueError):
+        tables.save_graph(spark.createDataFrame([("[]",)], "value string"), str(tmp_path / "bad"))
+
+
+def test_index_with_claims_embeddings_and_update(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one", "Alpha meets Beta here. Alpha knows Gamma."), (2, "two", "Beta meets Delta there.")], "id long, title string, text string")
+    client = models.Canned({"List claims": "(ALPHA<|>BETA<|>MET<|>TRUE<|>NONE<|>NONE<|>they met)", "List entities": '("entity"<|>Alpha<|>PERSON<|>a)\n##\n("entity"<|>Beta<|>PERSON<|>b)\n##\n("relationship"<|>Alpha<|>Beta<|>met<|>2)', "Write a report": '{"title": "T", "summary": "S", "rating": 3, "findings": [],}'}, "x")
+    seen = index.Statistics()
+    config = index.Config(client=client, claims="meetings", embedder=lambda ts: [models.hashing_embedder(t) for t in ts], callbacks=(seen,))
+    store = tables.TableStore(spark, str(tmp_path))
+    t = index.build_index(docs.filter("id = 1"), store, config)
+    c = t["covariates"].collect()
+    assert [(r.subject_id, r.human_readable_id, r.description) for r in c] == [("ALPHA", "1", "they met")] and tuple(t["covariates"].columns) == index.CLAIM_COLUMNS
+    assert len(t["entities"].first().vector) == 64 and t["community_reports"].count() > 0 and len(t["community_reports"].first().full_content_embedding) == 64
+    assert set(seen.tables) == set(index.STEPS)
+    seen.write(store)
+    found = search.local_engine(t, models.hashing_embedder, lambda p: p)("Alpha meets")
+    assert "-----Claims-----" in found.context and "they met" in found.context
+    assert search.global_engine(t, models.Canned({"Answer from the reports": '{"points": [{"description": "d", "score": 5}]}'}, "done"))("q").answer == "done"
+    merged = index.update_index(docs, store, config)
+    assert {r.title for r in merged["documents"].collect()} == {"one", "two"}
+    both = {r.name: r for r in merged["entities"].collect()}
+    assert set(both) == {"ALPHA", "BETA"} and len(both["ALPHA"].text_unit_ids) == 2
+    assert merged["relationships"].first().weight == 2 * t["relationships"].first().weight
+    assert all(set(r.entity_ids) == {both["ALPHA"].id, both["BETA"].id} for r in merged["final_text_units"].collect())
