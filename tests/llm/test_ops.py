@@ -476,6 +476,140 @@ def test_stages(spark, docs, odd, none):
         assert stage(spark, none.select(*docs.columns), "").count() == 0, name
 
 
+CLASH = ("blob", "spans", "masked", "copies", "row", "key", "lang_pred", "score", "copy", "i", "s")
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    own = docs.limit(40).cache()
+    more = own
+    for c in CLASH:
+        more = more.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    for stage in (stages.identify_language, stages.drop_near_copies, stages.mask_secrets, stages.mix_sources):
+        plain, wide = stage(spark, own, ""), stage(spark, more, "")
+        assert wide.columns == [*docs.columns, *CLASH]
+        assert sorted(map(repr, wide.select(*docs.columns).collect())) == sorted(map(repr, plain.collect()))
+        assert wide.filter(" AND ".join(f"{c} = concat('{c}', doc_id)" for c in CLASH)).count() == wide.count()
+    assert sorted(packing.pack(more).collect()) == sorted(packing.pack(own).collect())
+
+
+def test_near_copies_under_one_doc_id(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, base), (1, base + " end"), (1, "something else by far"), (2, base), (None, base), (None, "alone without an id"), (3, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC)
+    got = sorted((r.doc_id or 0, r.text) for r in stages.drop_near_copies(spark, df, "").collect())
+    assert [i for i, _ in got] == [0, 1, 1, 3] and (1, "something else by far") in got and got[0][1] == "alone without an id"
+
+
+def test_pipeline_run(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "secrets", "mixing", "packing"]
+    extra = spark.createDataFrame([(90_001, "12 !! ---", "en", "s", 9), (90_002, None, None, None, None), (90_003, "", "en", "s", 0)], DOC)
+    docs.unionByName(extra).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.Counter()
+    for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[p.doc_id] += p.length
+    rows = [(r.doc_id, r.text) for r in docs.collect() if any(map(str.isalpha, r.text or ""))]
+    kept = {d for d, _, c in brute_components(rows, 5, 80) if d == c}
+    def masked(t):
+        at, out = 0, ""
+        for s, _, e in secret_scan.find_spans(t):
+            if s >= at:
+                out += t[at:s] + stages.MASK
+            at = max(at, e)
+        return out + t[at:]
+
+    left = docs.filter(F.col("doc_id").isin([int(d) for d in kept])).collect()
+    clean = spark.createDataFrame([(r.doc_id, masked(r.text), r.lang, r.source, len(masked(r.text))) for r in left], DOC)
+    copies = {r.doc_id: r.copies for r in mixing.mix(clean).collect()}
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    full = Tokenizer.from_file(public_tokenizers.path(_tokens.VOCABULARY))
+    assert got == {r.doc_id: copies[r.doc_id] * (len(full.encode(r.text, add_special_tokens=False).ids) + 1) for r in clean.collect() if copies[r.doc_id]}
+
+
+def test_copies_are_scanned_once_and_every_version_is_found(spark):
+    versions = ["token = abcdefghijkl0", "token = abcdefghijkl1", "nothing"]
+    d = spark.createDataFrame([(i, versions[i % 3]) for i in range(900)], "doc_id long, text string")
+    ledger = secret_scan.scan(d).cache()
+    assert ledger.count() == 3 and secret_scan.scan(d, ledger).count() == 0
+    assert secret_scan.findings(d, ledger).filter("n_assign = 1").count() == 600
+    more = d.unionByName(spark.createDataFrame([(901, "secret: zyxwvutsrqponm")], d.schema))
+    new = secret_scan.scan(more, ledger)
+    assert new.count() == 1 and secret_scan.findings(more, ledger.unionByName(new)).count() == 901
+
+
+def test_attention_gradient():
+    rng = np.random.default_rng(4)
+    x, row, y = rng.normal(size=(9, 5)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3]), np.array([1.0, 0.0, 1.0, 0.0])
+    p, weight = quality.parameters(5, rng), np.array([0.1, 0.2, 0.3, 0.4])
+    loss, g = quality.gradient(p, x, row, y, weight)
+    # pooling by its definition, a document at a time
+    want = 0.0
+    for r in range(4):
+        h = np.tanh(x[row == r] @ p["e"][:-1] + p["e"][-1])
+        a = np.exp((np.tanh(h @ p["v"]) / (1 + np.exp(-h @ p["u"]))) @ p["w"])
+        out = 1 / (1 + np.exp(-((a / a.sum()) @ h @ p["c"][:-1] + p["c"][-1])))
+        want -= weight[r] * (y[r] * np.log(out) + (1 - y[r]) * np.log(1 - out))
+    assert loss == pytest.approx(want)
+    for k, v in p.items():
+        for _ in range(6):
+            i = tuple(rng.integers(0, n) for n in v.shape)
+            old, e = v[i], 1e-5
+            v[i] = old + e
+            up = quality.gradient(p, x, row, y, weight)[0]
+            v[i] = old - e
+            down = quality.gradient(p, x, row, y, weight)[0]
+            v[i] = old
+            assert g[k][i] == pytest.approx((up - down) / (2 * e), abs=1e-6)
+
+
+def test_compressed_lengths():
+    import zstandard
+
+    texts = ["alpha beta gamma delta " * 3, "", None, "one two three"]
+    raw, offs = _words.buffers(pa.array(texts))
+    start, end, row = toxicity._windows(raw, offs)
+    dicts = [toxicity._dictionary([b"alpha beta gamma", b"one two"] * k) for k in (1, 2)]
+    gain = toxicity._gains(raw, start, end, *(toxicity._compressor(d) for d in dicts))
+    for s, e, g in zip(start, end, gain, strict=True):
+        one = [len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[s:e].tobytes())) for d in dicts]
+        assert g == one[1] - one[0]
+
+
+def test_texts_over_a_slice(spark):
+    long = " ".join(f"wort{i % 5000}" for i in range(400_000))
+    rows = [(1, long, "de", "s", 1), (2, long + " ende", "de", "s", 1), (3, "kurz", "de", "t", 1)]
+    df = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r for r in jaccard.join(df).collect()}
+    assert got[2].component_id == 1 and got[1].n_shingles == 5000
+    assert {r.doc_id: r.n_tokens for r in language_model.score(df, language_model.fit(df, F.lit(True))).collect()} == {1: 400_001, 2: 400_002, 3: 2}
+    model = language.fit(["kurz und klein", "short and small"], ["de", "en"])
+    assert language.identify(df, model).filter("score > 0").count() == 3
+    assert quality.score(df, quality.fit(["good text"], ["BAD TEXT"])).count() == 3
+    assert packing.pack(df).agg(F.countDistinct("doc_id")).first()[0] == 3
+
+
+def test_many_languages_and_rare_letters():
+    names = [f"l{i:02}" for i in range(70)]
+    texts = [" ".join(f"{n}{'abc'[k % 3]}" for k in range(60)) for n in names]
+    m = language.fit(texts * 2, names * 2, epochs=6)
+    assert len(m.languages) == 70 and m.emit.shape[0] * 70 <= language.BUCKETS * 64
+    assert np.mean([a == b for a, b in zip(language.predict(pa.array(texts), m)[0], names)]) > 0.9
+    assert "und" not in language.predict(pa.array(["\u00b5 \u00aa \u00ba"]), m)[0]
+
+
+def test_copies_are_unbiased(spark):
+    # over seeds, a source's documents are taken as often as its rate says
+    d = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 7)), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    runs = [{r.doc_id: r.copies for r in mixing.mix(d, seed=s).collect()} for s in range(12)]
+    rate = {r.doc_id: r.target / r.source_size for r in mixing.mix(d).collect()}
+    mean = {i: np.mean([r[i] for r in runs]) for i in rate}
+    for part in (0, 1):
+        assert abs(np.mean([mean[i] - rate[i] for i in rate if i % 2 == part])) < 0.08
+
+
 def test_stage_results(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = {d for d, _, c in brute_components(rows, 5, 80) if d == c}
