@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grafloom.functions import text as T
+from grafloom.operators import graph
 
 
 def token_windows(toks: Column, size: int, overlap: int) -> Column:
@@ -20,19 +21,28 @@ def base_text_units(documents: DataFrame, size: int = 1200, overlap: int = 100,
     """Text units of documents (id, text): grouping columns, document_ids, start, n_tokens, chunk and id.
 
     Documents of a group are one token stream in id order, so a unit may span documents when groups
-    are larger than a document. With the default grouping nothing is shuffled.
+    are larger than a document. With the default grouping nothing is shuffled. Otherwise running sums
+    tell where in its stream a document lies, each gives the units that it overlaps its part of them,
+    and a unit is put together from those: no row holds more than a document or a unit.
     """
     own = documents.select(*dict.fromkeys([*by, "id"]), T.tokens("text").alias("_tokens"))
     if tuple(by) == ("id",):
-        streams = own.withColumn("_ends", F.array(F.struct(F.col("id").cast("string").alias("id"), F.size("_tokens").alias("n"))))
+        rows = own.select("id", F.explode(token_windows(F.col("_tokens"), size, overlap)).alias("w"))
+        units = rows.select("id", F.array(F.col("id").cast("string")).alias("document_ids"), "w.start", "w.n_tokens", "w.chunk")
     else:
-        packed = own.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("id", "_tokens"))).alias("_docs"))
-        streams = packed.select(*by, F.flatten(F.transform("_docs", lambda d: d["_tokens"])).alias("_tokens"), F.transform("_docs", lambda d: F.struct(d["id"].cast("string").alias("id"), F.size(d["_tokens"]).alias("n"))).alias("_ends"))
-    before = lambda i: F.aggregate(F.slice("_ends", F.lit(1), i), F.lit(0), lambda m, d: m + d["n"])
-    cuts = F.transform("_ends", lambda d, i: F.struct(d["id"].alias("id"), before(i).alias("lo"), (before(i) + d["n"]).alias("hi")))
-    rows = streams.withColumn("_cuts", cuts).select(*by, "_cuts", F.explode(token_windows(F.col("_tokens"), size, overlap)).alias("w"))
-    ids = F.transform(F.filter("_cuts", lambda d: (d["lo"] < F.col("w.start") + F.col("w.n_tokens")) & (d["hi"] > F.col("w.start")) & (d["hi"] > d["lo"])), lambda d: d["id"])
-    units = rows.select(*by, ids.alias("document_ids"), F.col("w.start").alias("start"), F.col("w.n_tokens").alias("n_tokens"), F.col("w.chunk").alias("chunk"))
+        step = size - overlap
+        if not 0 <= overlap < size:
+            raise ValueError("overlap must be less than the window")
+        n = F.size("_tokens").cast("long")
+        rows = graph.running_sum(own.withColumn("_n", n), F.col("_n"), [F.col("id"), F.col("_n")], list(by), "_hi").filter("_n > 0").withColumn("_lo", F.col("_hi") - F.col("_n"))
+        first = F.greatest(F.lit(0), F.floor((F.col("_lo") - size) / step) + 1).cast("long")
+        rows = rows.withColumn("_k", F.explode(F.sequence(first, F.floor((F.col("_hi") - 1) / step).cast("long"))))
+        lo, hi = F.greatest(F.col("_lo"), F.col("_k") * step), F.least(F.col("_hi"), F.col("_k") * step + size)
+        part = F.slice("_tokens", (lo - F.col("_lo") + 1).cast("int"), (hi - lo).cast("int"))
+        parts = F.sort_array(F.collect_list(F.struct(F.col("_lo").alias("lo"), F.col("id").cast("string").alias("id"), part.alias("tokens"))))
+        whole = rows.groupBy(*by, "_k").agg(parts.alias("_parts"))
+        toks = F.flatten(F.transform("_parts", lambda p: p["tokens"]))
+        units = whole.select(*by, F.transform("_parts", lambda p: p["id"]).alias("document_ids"), (F.col("_k") * step).cast("int").alias("start"), F.size(toks).alias("n_tokens"), F.array_join(toks, " ").alias("chunk"))
     key = T.row_hash(F.concat_ws(",", F.array_sort("document_ids")), F.col("chunk"), F.col("n_tokens"))
     return units.withColumn("chunk_id", key).withColumnRenamed("id", "group_id").withColumn("id", F.col("chunk_id")) if "id" in by else units.withColumn("chunk_id", key).withColumn("id", key)
 

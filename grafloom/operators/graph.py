@@ -134,6 +134,26 @@ def number_rows(df: DataFrame, order: list[str], to: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "_p").withColumn(to, (F.col("_start") + own).cast("long")).drop("_p", "_start")
 
 
+def running_sum(rows: DataFrame, size: Column, order: list[Column], by: list[str], to: str, start: int = 0, most: int | None = None) -> DataFrame:
+    """Rows with the sum of sizes up to and with each, in order, for each key.
+
+    Rows are cut into ranges of key and order; sums of the ranges before tell where a range begins, so
+    that no task holds a key, or all rows. With ``most``, ranges that begin past it are left out.
+    """
+    cut = _written(rows.withColumn("_size", size.cast("double")).repartitionByRange(*(F.col(b) for b in by), *order).withColumn("_p", F.spark_partition_id()))
+    sums = cut.groupBy(*by, "_p").agg(F.sum("_size").alias("_sum"))
+    # one row for each key and range
+    before = F.sum("_sum").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.withColumn("_before", F.coalesce(before, F.lit(0.0)) + start)
+    starts = starts if most is None else starts.filter(F.col("_before") <= most)
+    same = F.col("_p") == F.col("_q")
+    for b in by:
+        same = same & cut[b].eqNullSafe(F.col(f"_{b}"))
+    near = cut.join(starts.select(F.col("_p").alias("_q"), *(F.col(b).alias(f"_{b}") for b in by), "_before"), same).drop("_q", *(f"_{b}" for b in by))
+    w = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return near.withColumn(to, (F.sum("_size").over(w) + F.col("_before")).cast("long")).drop("_size", "_p", "_before")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(title, component): the least title that edges reach, by alternating large and small stars (Kiveris et al., 2014)."""
     e = _written(edges.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct())
