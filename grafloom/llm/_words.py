@@ -116,9 +116,20 @@ def lower(raw: np.ndarray) -> np.ndarray:
 
 
 def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of the bytes."""
+    """64-bit hashes of spans of the bytes; of long texts a piece at a time."""
     if not len(start):
         return np.zeros(0, np.uint64)
+    if len(raw) > 2 * _STEP:
+        order = np.argsort(start, kind="stable")
+        piece, out = start[order] // _STEP, np.empty(len(start), np.uint64)
+        for of in np.split(order, np.flatnonzero(np.diff(piece)) + 1):
+            lo, hi = int(start[of[0]]), int(end[of].max())
+            out[of] = _span_hashes(raw[lo:hi], start[of] - lo, end[of] - lo)
+        return out
+    return _span_hashes(raw, start, end)
+
+
+def _span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     p, q = _powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * p[: len(raw)], out=total[1:])

@@ -174,8 +174,12 @@ def fit(texts: list[str], labels: list[str], epochs: int = 12, runs: int = 24) -
     used, ids = np.unique(word, return_inverse=True)
     ids = ids.reshape(word.shape)
     _, where, back = np.unique(_words.hashes(raw, start[used], end[used]), return_index=True, return_inverse=True)
-    f, begin = _features(raw, start[used][where], end[used][where], buckets)
-    n = np.diff(np.append(begin, len(f)))
+    # a few words at a time: training runs beside the driver's own memory
+    parts = [_features(raw, start[used][where[i : i + 8192]], end[used][where[i : i + 8192]], buckets) for i in range(0, len(where), 8192)]
+    f = np.concatenate([p.astype(np.int32) for p, _ in parts])
+    n = np.concatenate([np.diff(np.append(b, len(p))) for p, b in parts])
+    begin = np.cumsum(n) - n
+    del parts
     ids = back[ids]
     k = len(names)
     emit, step = np.zeros((buckets, k)), np.zeros((k, k))
@@ -298,7 +302,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     some = rows.join(F.broadcast(share), "lang").withColumn("h", h).filter(F.col("h") < F.col("share") * float(1 << 32))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
     got = some.withColumn("n", first).filter(F.col("n") <= each).select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "lang", "text"])
-    return fit(list(got.text), list(got.lang))
+    model = fit(list(got.text), list(got.lang))
+    _words.release()
+    return model
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,14 @@ def test_words_and_hashes():
     alone = [_words.hashes(*_span(w))[0] for _, w in want]
     assert h.tolist() == [int(x) for x in alone]
     assert (_words.unmix(_words.mix(h)) == h).all()
+    # long texts are hashed in pieces, whatever the order of the spans
+    many = [f"wörd{i}" for i in range(300_000)]
+    raw, offs = _words.buffers(pa.array([" ".join(many)]))
+    start, end, _ = _words.words(raw, offs)
+    assert len(raw) > 2 << 20
+    pick = np.random.default_rng(1).permutation(len(start))[:500]
+    got = _words.hashes(raw, start[pick], end[pick])
+    assert (got == _words.hashes(raw, start, end)[pick]).all() and got.tolist() == [int(_words.hashes(*_span(many[i]))[0]) for i in pick]
 
 
 def _span(w):
