@@ -148,7 +148,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, tokeni
             packer.finish()
             yield packer.flush()
 
-    return rows.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(run, SCHEMA)
+    return rows.repartitionById(parts, F.col("p").cast("int")).sortWithinPartitions("p", "kind").mapInArrow(run, SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
