@@ -40,7 +40,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     Sources by code point, null last, have the weights in turn. No target is over ``most`` times its
     source; the excess goes to the others by weight: with sources ordered by limit over weight, those
     before the first whose limit holds at the level that is then left get their limit. One row per
-    source is ordered as a whole; sources are few against documents.
+    source is ordered as a whole, in one task: a bound of some ten million sources, however many documents.
     """
     one = Window.partitionBy(F.lit(0))
     w = F.lit(None).cast("double")
