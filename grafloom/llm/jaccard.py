@@ -22,7 +22,9 @@ early enough; the group is opened only if the union of its members' sets holds a
 tokens: no member can share more.
 
 Tokens travel in compressed blocks of sorted arrays, not as rows. Texts of classes that may have a
-partner are read again; no table of all sets is made.
+partner are read again; no table of all sets is made. Tables that grow with the input are joined by
+sorting (``merge``) at every size, never by broadcast, so that a plan that holds on a small table is the
+plan of a large one.
 
 Defined cases: null and wordless texts are empty and link with nothing; shorter texts than a shingle
 are one shingle; repeated rows are copies and link; an empty table gives no rows; a very long text is
@@ -216,7 +218,7 @@ def _partnered(lists: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     smallest = F.floor((n * percent + 99) / 100).cast("long")
     # a class has no more rows than its prefix
     own = Window.partitionBy("sig")
-    rows = lists.join(sketch.select("sig", "n").distinct(), "sig").withColumn("k", F.count("*").over(own)).withColumn("first", F.min("place").over(own))
+    rows = lists.join(sketch.select("sig", "n").distinct().hint("merge"), "sig").withColumn("k", F.count("*").over(own)).withColumn("first", F.min("place").over(own))
     rows = rows.filter((F.col("k") >= _sql_common(smallest, percent)) & (F.col("first") <= n - smallest))
     return rows.select("token", "sig", "n", "place", "leader")
 
@@ -252,7 +254,7 @@ def _sets_of(docs: DataFrame, met: DataFrame, words: int) -> DataFrame:
                     keep.append(int(i))
             yield pa.record_batch({"sig": pa.array(sig[keep]), "tokens": pa.array([h[edge[i] : edge[i + 1]].tobytes() for i in keep], pa.binary())})
 
-    return docs.select("text").mapInArrow(run, "sig long, tokens binary").join(met, "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
+    return docs.select("text").mapInArrow(run, "sig long, tokens binary").join(met.hint("merge"), "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -271,7 +273,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 _GROUP = ["family", "loose", "bucket", "block"]
@@ -324,9 +326,9 @@ def _groups(near: DataFrame, links: DataFrame) -> DataFrame:
 
 def _met(lists: DataFrame, group: DataFrame, percent: int) -> DataFrame:
     """(q, group): what the token-group matrix cannot exclude."""
-    rows = lists.select("token", "sig", "n", "place").join(group, "sig")
+    rows = lists.select("token", "sig", "n", "place").join(group.hint("merge"), "sig")
     mixed = rows.groupBy("token").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("token")
-    rows = _store.table(rows.join(mixed, "token", "left_semi"), "mixed")
+    rows = _store.table(rows.join(mixed.hint("merge"), "token", "left_semi"), "mixed")
     n, place = F.col("n"), F.col("place")
     index = rows.filter(place < n - _sql_alpha(n, n, percent) + _sql_common(n, percent))
     matrix = index.groupBy("token", *_GROUP).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(n - place).alias("rest"), F.min("sig").alias("one"), F.max("sig").alias("two"))
@@ -337,7 +339,7 @@ def _met(lists: DataFrame, group: DataFrame, percent: int) -> DataFrame:
     other = F.col("q_loose") | (F.col("q_family") != F.col("component"))
     held = ~((F.col("one") == F.col("sig")) & (F.col("two") == F.col("sig")))
     fits = (F.col("low") <= n) & (F.col("high") * 100 >= n * percent) & (n - place + k - 1 >= alpha) & (F.col("rest") + k - 1 >= alpha)
-    hits = rows.join(matrix, (F.col("token") == F.col("t")) & other & held & fits)
+    hits = rows.join(matrix.hint("merge"), (F.col("token") == F.col("t")) & other & held & fits)
     hits = hits.groupBy(F.col("sig").alias("q"), *(f"q_{g}" for g in _GROUP)).agg(F.count("*").alias("hits"), F.max((n - place >= alpha) & (F.col("rest") >= alpha)).alias("early"), F.min(_sql_common(least, percent)).alias("k"))
     return hits.filter("early AND hits >= k").select("q", *(f"q_{g}" for g in _GROUP))
 
@@ -361,8 +363,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     asked = _store.table(_met(lists, group, percent), "asked")
     key = [f"q_{g}" for g in _GROUP]
     turns = asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
-    asked = asked.join(turns, key).withColumn("q_turn", F.pmod(F.xxhash64("q"), F.col("turns"))).join(sets.toDF("q", "q_tokens"), "q").select("q", *key, "q_turn", "q_tokens")
-    members = group.join(turns.toDF(*_GROUP, "turns"), _GROUP).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).join(sets, "sig").select(*_GROUP, "turn", "sig", "tokens")
+    asked = asked.join(turns, key).withColumn("q_turn", F.pmod(F.xxhash64("q"), F.col("turns"))).join(sets.toDF("q", "q_tokens").hint("merge"), "q").select("q", *key, "q_turn", "q_tokens")
+    members = group.join(turns.toDF(*_GROUP, "turns"), _GROUP).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).join(sets.hint("merge"), "sig").select(*_GROUP, "turn", "sig", "tokens")
     links = _store.table(links.unionByName(_open(asked, members, percent)), "all_links")
     for done in (lists, sets, group):
         _store.drop(done)
