@@ -192,79 +192,6 @@ def modularity(edges: DataFrame, communities: DataFrame) -> float:
     return inside / m - ends.agg(F.sum(F.pow(F.col("d") / (2 * m), 2))).first()[0]
 
 
-def _move_round(inner: DataFrame, state: DataFrame, resolution: float, turn: int) -> DataFrame:
-    """A random half of the nodes take the neighbouring community that they gain most modularity with.
-
-    Besides the moved state: ``was``, the community before; ``held``, the weight to it; ``wants``, whether
-    the node would gain by a move, its turn or not.
-    """
-    mass = state.groupBy("community").agg(F.sum("k").alias("mass"))
-    near = inner.join(state.select(F.col("title").alias("v"), F.col("community").alias("near")), "v").groupBy("u", "near").agg(F.sum("weight").alias("w"))
-    near = near.join(state.select(F.col("title").alias("u"), "community", "k", "total"), "u").join(mass.toDF("near", "mass"), "near")
-    here = F.col("near") == F.col("community")
-    gain = F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(here, F.col("k")).otherwise(0.0)) / F.col("total")
-    best = near.withColumn("gain", gain).groupBy("u").agg(F.max_by("near", F.struct("gain", "near")).alias("to"), F.max("gain").alias("g"), F.max(F.when(here, F.col("gain"))).alias("stay"), F.max(F.when(here, F.col("w"))).alias("held"))
-    got = state.join(best, F.col("title") == F.col("u"), "left")
-    wants = F.coalesce(F.col("g") > F.coalesce("stay", F.lit(0.0)) + 1e-9 * F.col("k"), F.lit(False))
-    to = F.when(wants & (F.pmod(F.xxhash64("title", F.lit(turn)), F.lit(2)) == 0), F.col("to")).otherwise(F.col("community"))
-    return got.select("title", "scope", "k", "total", to.alias("community"), F.col("community").alias("was"), F.coalesce("held", F.lit(0.0)).alias("held"), wants.alias("wants"))
-
-
-def _local_moves(inner: DataFrame, state: DataFrame, resolution: float, patience: int = 2) -> DataFrame:
-    """The state after rounds until nothing moves, or until ``patience`` rounds on end raise the scopes' summed modularity no more."""
-    best, kept, turn, stale = None, state, 0, 0
-    while True:
-        now = _written(_move_round(inner, state, resolution, turn))
-        mass = now.groupBy("scope", "total", "was").agg(F.sum("k").alias("m"), F.sum("held").alias("h"))
-        value, wants = mass.agg(F.sum(F.col("h") / F.col("total") - resolution * F.pow(F.col("m") / F.col("total"), 2))).first()[0], not now.filter("wants").isEmpty()
-        if best is None or value > best + 1e-14:
-            best, kept, stale = value, now.select("title", "scope", "k", "total", F.col("was").alias("community")), 0
-        else:
-            stale += 1
-        if not wants or stale >= patience:
-            return kept
-        state, turn = now.select("title", "scope", "k", "total", "community"), turn + 1
-
-
-def hierarchical_communities(edges: DataFrame, max_size: int = 10, resolution: float = 1.0) -> DataFrame:
-    """(level, title, community, parent): modularity communities, level by level, until none has over ``max_size`` nodes.
-
-    Level 0 partitions the nodes; a deeper level divides only communities of over ``max_size`` nodes,
-    each as a graph of its own. What the moves leave whole (a clique, a star) is cut into equal parts of
-    at most ``max_size`` in title order, so every level divides whatever is too large. Moves run as joins
-    over all nodes, half of them at a time so that neighbours don't swap for ever; no task holds a
-    component. A community is named after its least member.
-    """
-    both = edges.filter("source <> target").select(F.col("source").alias("u"), F.col("target").alias("v"), F.col("weight").cast("double").alias("weight"))
-    both = _written(both.unionAll(both.select("v", "u", "weight")))
-    scope = both.select(F.col("u").alias("title")).distinct().withColumn("scope", F.lit(""))
-    out, level = None, 0
-    while True:
-        of = lambda end: scope.select(F.col("title").alias(end), F.col("scope").alias(f"{end}_scope"))  # noqa: B023, E731
-        both = _written(both.join(of("u"), "u").join(of("v"), "v").filter("u_scope = v_scope").select("u", "v", "weight"))
-        state = scope.join(both.groupBy(F.col("u").alias("title")).agg(F.sum("weight").alias("k")), "title", "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
-        total = state.groupBy("scope").agg(F.greatest(F.sum("k"), F.lit(1e-300)).alias("total"))
-        state = _written(state.join(total, "scope").select("title", "scope", "k", "total", F.col("title").alias("community")))
-        labels = _local_moves(both, state, resolution).select("title", "scope", "community")
-        parts = labels.groupBy("scope", "community").agg(F.count("*").alias("n")).groupBy("scope").agg(F.count("*").alias("parts"), F.sum("n").alias("nodes"))
-        whole = parts.filter((F.col("parts") == 1) & (F.col("nodes") > max_size))
-        if level and not whole.isEmpty():
-            stuck = number_rows(labels.join(whole.select("scope", "nodes"), "scope"), ["scope", "title"], "_n")
-            stuck = stuck.join(stuck.groupBy("scope").agg(F.min("_n").alias("_first")), "scope")
-            part = F.floor((F.col("_n") - F.col("_first")) * F.ceil(F.col("nodes") / max_size) / F.col("nodes"))
-            cut = stuck.select("title", "scope", F.concat_ws(" ", "community", part.cast("string")).alias("community"))
-            labels = labels.join(whole.select("scope"), "scope", "left_anti").select("title", "scope", "community").unionByName(cut)
-        labels = _written(labels)
-        named = labels.groupBy("scope", "community").agg(F.min("title").alias("least"), F.count("*").alias("n"))
-        labels = _written(labels.join(named, ["scope", "community"]).select("title", F.concat(F.lit(f"{level}:"), "least").alias("community"), "scope", "n"))
-        rows = labels.select(F.lit(level).alias("level"), "title", "community", F.nullif(F.col("scope"), F.lit("")).alias("parent"))
-        out = rows if out is None else out.unionByName(rows)
-        scope = _written(labels.filter(F.col("n") > max_size).select("title", F.col("community").alias("scope")))
-        if scope.isEmpty():
-            return out
-        level += 1
-
-
 def clustered_nodes(nodes: DataFrame, communities: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes on every level of their communities with degree, number and an id that follows from the title.
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from grafloom.functions import parsers, text as T
-from grafloom.operators import chunking, context, graph, relational, retrieval
+from grafloom.operators import chunking, communities, context, graph, relational, retrieval
 from grafloom.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -378,4 +378,11 @@ def connected_components(spark, d):
 
 @query()
 def hierarchical_clusters(spark, d):
-    return graph.hierarchical_communities(edges(spark, d))
+    return communities.hierarchical_leiden(edges(spark, d))
+
+
+@query(f"""WITH {_DEGREE} SELECT title, true AS once, true AS nested, true AS small, true AS connected FROM degree""")
+def cluster_invariants(spark, d):
+    """What holds for each node of the hierarchy: it is on level 0 once, its communities are nested, the last has ten members or fewer, and edges connect each."""
+    e = graph._written(edges(spark, d))
+    return communities.invariants(e, graph._written(communities.hierarchical_leiden(e)))
