@@ -192,13 +192,19 @@ def modularity(edges: DataFrame, communities: DataFrame) -> float:
     return inside / m - ends.agg(F.sum(F.pow(F.col("d") / (2 * m), 2))).first()[0]
 
 
-def clustered_nodes(nodes: DataFrame, communities: DataFrame, edges: DataFrame) -> DataFrame:
+def clustered_nodes(nodes: DataFrame, communities: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Nodes on every level of their communities with degree, number and an id that follows from the title.
 
-    Unclustered nodes stay on level 0 with a null community. Numbers are dense in title order, from 0.
+    Unclustered nodes stay on level 0 with a null community. Numbers are dense in title order, from 0;
+    titles of ``known`` (title, human_readable_id) keep theirs, and others go on from the greatest.
     """
-    ids = number_rows(nodes, ["title"], "human_readable_id").withColumn("id", F.md5("title"))
-    out = ids.join(communities.select("title", "level", "community"), "title", "left").join(degrees(edges), "title", "left")
+    if known is None:
+        ids = number_rows(nodes, ["title"], "human_readable_id")
+    else:
+        start = known.agg(F.coalesce(F.max("human_readable_id") + 1, F.lit(0)).alias("_start"))  # one row
+        fresh = number_rows(nodes.join(known.select("title"), "title", "left_anti"), ["title"], "_n").join(F.broadcast(start))
+        ids = nodes.join(known, "title").unionByName(fresh.withColumn("human_readable_id", F.col("_n") + F.col("_start")).drop("_n", "_start"))
+    out = ids.withColumn("id", F.md5("title")).join(communities.select("title", "level", "community"), "title", "left").join(degrees(edges), "title", "left")
     return out.withColumns({"level": F.coalesce("level", F.lit(0)), "degree": F.coalesce("degree", F.lit(0)).cast("int")})
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from grafloom.operators import graph
 from grafloom.operators.relational import read_typed
 
-#: Columns of each object with their types; a name that ends in "?" may be missing.
+# The columns of each object with their types; a name that ends in "?" may be missing.
 OBJECTS: dict[str, dict[str, str]] = {
     "entity": {"id": "string", "title": "string", "type?": "string", "description?": "string", "community_ids?": "array<string>", "text_unit_ids?": "array<string>", "rank?": "int", "vector?": "array<double>"},
     "relationship": {"id": "string", "source": "string", "target": "string", "description?": "string", "weight?": "double", "text_unit_ids?": "array<string>", "rank?": "int"},
@@ -35,9 +35,16 @@ def read_objects(df: DataFrame, kind: str, columns: dict[str, str] | None = None
     return rows if short_id else graph.number_rows(rows, ["id"], "short_id").withColumn("short_id", F.col("short_id").cast("string"))
 
 
+def deepest(nodes: DataFrame, level: int | None = None) -> DataFrame:
+    """(title, community): the deepest community of each title, up to a level."""
+    rows = nodes.filter(F.col("community").isNotNull())
+    rows = rows if level is None else rows.filter(F.col("level") <= level)
+    return rows.groupBy("title").agg(F.max_by("community", F.struct("level", "community")).alias("community"))
+
+
 def entities(tables: dict[str, DataFrame], level: int = 0) -> DataFrame:
-    """Entities of a built index with the communities of their title up to a level."""
-    own = tables["nodes"].filter((F.col("level") <= level) & F.col("community").isNotNull()).groupBy("title").agg(F.array_sort(F.collect_set(F.col("community").cast("string"))).alias("community_ids"))
+    """Entities of a built index with the deepest community of their title up to a level."""
+    own = deepest(tables["nodes"], level).select("title", F.array(F.col("community").cast("string")).alias("community_ids"))
     rows = tables["entities"].withColumnRenamed("name", "title").join(own, "title", "left")
     return read_objects(rows, "entity", short_id="human_readable_id")
 
@@ -55,12 +62,14 @@ def covariates(tables: dict[str, DataFrame]) -> DataFrame:
     return read_objects(rows, "covariate", short_id="human_readable_id", attributes=["object_id", "status", "start_date", "end_date", "description"])
 
 
+def chosen_reports(tables: dict[str, DataFrame], level: int | None = None, min_rank: float | None = None) -> DataFrame:
+    """Rows of the report table for the deepest communities of all titles up to a level, from a rank on: no parent beside its children unless a title goes no deeper."""
+    rows = tables["community_reports"].join(deepest(tables["nodes"], level).select("community").distinct(), "community", "left_semi")
+    rows = rows if level is None else rows.filter(F.col("level") <= level)
+    return rows if min_rank is None else rows.filter(F.col("rank") >= min_rank)
+
+
 def reports(tables: dict[str, DataFrame], level: int | None = None, min_rank: float | None = None) -> DataFrame:
     """Reports of a built index up to a level and from a rank on."""
-    rows = tables["community_reports"]
-    if level is not None:
-        rows = rows.filter(F.col("level") <= level)
-    if min_rank is not None:
-        rows = rows.filter(F.col("rank") >= min_rank)
-    rows = rows.withColumns({"id": F.col("community"), "content": F.col("report"), "title": F.concat(F.lit("Community "), "community")})
+    rows = chosen_reports(tables, level, min_rank).withColumns({"id": F.col("community"), "content": F.col("full_content")})
     return read_objects(rows, "report", short_id="community")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from grafloom.functions import text as T
-from grafloom.operators import context, graph, retrieval, selection
+from grafloom.operators import context, graph, readers, retrieval, selection
 
 Model = Callable[[str], str]
 
@@ -113,8 +113,15 @@ def local_search(query: str, tables: dict[str, DataFrame], embed: Callable[[str]
     return Result(model(_LOCAL.replace("{query}", query).replace("{kind}", kind).replace("{context}", text)), text, used)
 
 
-def local_engine(tables: dict[str, DataFrame], embed: Callable[[str], list[float]], model: Model, **settings) -> Callable[[str], Result]:
-    """A local search over the tables of a built index: entities, relationships, final_text_units, nodes, community_reports, covariates."""
+#: The community level that engines take where none is given.
+LEVEL = 2
+
+
+def local_engine(tables: dict[str, DataFrame], embed: Callable[[str], list[float]], model: Model, level: int | None = LEVEL, min_rank: float | None = None, **settings) -> Callable[[str], Result]:
+    """A local search over the tables of a built index: entities, relationships, final_text_units, nodes, community_reports, covariates.
+
+    Each title counts for its deepest community up to ``level`` (None: any), and reports rank as their writer said.
+    """
     e = tables["entities"].withColumnRenamed("name", "title")
     units = tables["final_text_units"]
     given = {
@@ -123,17 +130,17 @@ def local_engine(tables: dict[str, DataFrame], embed: Callable[[str], list[float
         "mentions": e.select(F.explode("text_unit_ids").alias("unit"), "title"),
         "unit_edges": tables["relationships"].select(F.explode("text_unit_ids").alias("unit"), "source", "target"),
         "units": units.select(F.col("id").alias("unit"), F.col("text").alias("chunk")),
-        "nodes": tables["nodes"],
-        "reports": tables["community_reports"].select("community", F.col("report").alias("content"), F.col("level").alias("rank")),
+        "nodes": readers.deepest(tables["nodes"], level),
+        "reports": readers.chosen_reports(tables, level, min_rank).select("community", F.col("full_content").alias("content"), "rank"),
     }
     if "covariates" in tables:
         given["claims"] = tables["covariates"].withColumn("subject_id", F.upper("subject_id"))
     return lambda query, **more: local_search(query, given, embed, model, **(settings | more))
 
 
-def global_engine(tables: dict[str, DataFrame], model: Model, **settings) -> Callable[[str], Result]:
-    """A global search over the reports of a built index, ranked by level."""
-    reports = tables["community_reports"].select("community", F.concat(F.lit("Community "), "community").alias("title"), F.col("report").alias("content"), F.col("level").alias("rank"))
+def global_engine(tables: dict[str, DataFrame], model: Model, level: int | None = LEVEL, min_rank: float | None = None, **settings) -> Callable[[str], Result]:
+    """A global search over the reports of the deepest communities up to ``level`` (None: any) of a built index."""
+    reports = readers.chosen_reports(tables, level, min_rank).select("community", "title", F.col("full_content").alias("content"), "rank")
     return lambda query, **more: global_search(query, reports, model, **(settings | more))
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from grafloom.functions import parsers, repair
-from grafloom.operators import graph, relational, reports, retrieval, selection
+from grafloom.operators import graph, readers, relational, reports, retrieval, selection
 from grafloom.plans import index
-from grafloom.plans.catalogue import _EDGES, _RANKED, _UNITS, OVERLAP, SIZE, edges, query, table
+from grafloom.plans.catalogue import _DEGREE, _EDGES, _RANKED, _UNITS, OVERLAP, SIZE, edges, query, table
 from grafloom.sources.tables import TableStore
 from grafloom.streaming import incremental
 
@@ -47,9 +48,9 @@ def candidate_relationships(spark, d):
     return selection.candidate_relationships(sel, e)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ee')")
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '#0000000')")
 def name_search(spark, d):
-    return selection.name_search(table(spark, d, "part").select("p_partkey", "p_name"), "\t EE ", "p_name")
+    return selection.name_search(table(spark, d, "customer").select("c_custkey", "c_name"), "\t #0000000 ", "c_name")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
@@ -128,5 +129,68 @@ c AS (SELECT doc_id, a AS subject_id, b AS object_id, 'SEEN' AS type FROM w UNIO
 SELECT doc_id, subject_id, object_id, type, count(*) AS n FROM c GROUP BY ALL""")
 def index_covariates(spark, d):
     """The claims of an index built with a model."""
-    rows = _index(spark, d, index.Config(client=_ends, claims="words", size=SIZE, overlap=OVERLAP), "covariates")
+    rows = _index(spark, d, index.Config(client=_ends, claims="words", gleanings=0, size=SIZE, overlap=OVERLAP), "covariates")
     return rows.groupBy(F.col("document_ids")[0].cast("long").alias("doc_id"), "subject_id", "object_id", "type").agg(F.count("*").alias("n"))
+
+
+def _moody(prompt: str) -> str:
+    """A model that never answers twice the same."""
+    name = uuid.uuid4().hex.upper()
+    return f'("entity"<|>{name}<|>WORD<|>found)\n##\n("relationship"<|>{name}<|>{name}S<|>next<|>2)'
+
+
+@query(f"WITH {_UNITS} SELECT doc_id, count(*) AS n_units, 2 * count(*) AS n_names, count(*) AS n_edges, 2 * count(*) AS n_named FROM units GROUP BY 1")
+def index_answers(spark, d):
+    """Nodes and edges of a model that answers differently at each call: each edge's ends are named in the same answer."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("title"), "text")
+    t = index.build_index(docs, TableStore(spark), index.Config(size=SIZE, overlap=OVERLAP, client=_moody, gleanings=0), ["extracted_graph"])
+    g, all_ = t["extracted_graph"], t["text_units"].select(F.col("id").alias("source_id"), F.explode("document_ids").alias("doc_id"))
+    units_ = all_.distinct()  # equal chunks of a document share an id
+    names, ends = g.filter("kind = 'node'"), g.filter("kind = 'edge'")
+    named = ends.select("source_id", F.explode(F.array("source", "target")).alias("title")).join(names.select("source_id", "title"), ["source_id", "title"], "left_semi")
+    out = all_.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_units"))
+    for rows, to in ((names, "n_names"), (ends, "n_edges"), (named, "n_named")):
+        out = out.join(rows.join(units_, "source_id").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias(to)), "doc_id", "left")
+    return out
+
+
+_LEVELS = """n AS (SELECT c_name AS title, 0 AS level, 'r' || n_regionkey AS community FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c_name, 1, 'n' || c_nationkey FROM customer WHERE c_acctbal > 0),
+r AS (SELECT level, community, count(*)::DOUBLE AS rank FROM n GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_LEVELS}, t AS (SELECT DISTINCT arg_max(community, (level, community)) AS community FROM n WHERE level <= 1 GROUP BY title)
+SELECT community, rank, 'Report ' || community AS title FROM r WHERE level <= 1 AND community IN (SELECT community FROM t) AND rank >= 4""")
+def reports_under_level(spark, d):
+    """Reports of nations, and of regions that hold a customer without one."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    nodes = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("title"), F.lit(0).alias("level"), F.concat(F.lit("r"), "n_regionkey").alias("community"))
+    nodes = nodes.unionByName(c.filter("c_acctbal > 0").select(F.col("c_name").alias("title"), F.lit(1).alias("level"), F.concat(F.lit("n"), "c_nationkey").alias("community")))
+    told = nodes.groupBy("level", "community").agg(F.count("*").cast("double").alias("rank"))
+    told = told.withColumns({"title": F.concat(F.lit("Report "), "community"), "summary": F.lit("s"), "full_content": F.lit("text")})
+    return readers.reports({"nodes": nodes, "community_reports": told}, 1, 4.0).select("community", "rank", "title")
+
+
+def _updated(spark, d):
+    """An index by rule of the documents of even ids, and then of all."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("title"), "text")
+    store, config = TableStore(spark), index.Config(size=SIZE, overlap=OVERLAP, skip=("community_reports",))
+    index.build_index(docs.filter("id % 2 = 0"), store, config)
+    return index.update_index(docs, store, config)
+
+
+@query(f"WITH {_RANKED} SELECT source, target, weight, source_degree, target_degree, rank FROM ranked")
+def update_index(spark, d):
+    """Relationships after an update run are those of a build of all documents."""
+    return _updated(spark, d)["relationships"].select("source", "target", "weight", "source_degree", "target_degree", "rank")
+
+
+@query(f"""WITH {_DEGREE}, t AS (SELECT title, count(DISTINCT (doc_id, chunk)) AS n_units FROM ent JOIN units USING (unit, doc_id) GROUP BY 1)
+SELECT title, coalesce(degree, 0) AS degree, n_units, 1 AS n_rows, 1 AS n_entities, 1 AS n_numbers FROM t LEFT JOIN degree USING (title)""")
+def update_nodes(spark, d):
+    """Nodes after an update run: one row of each title on level 0, one entity, a number of its own."""
+    t = _updated(spark, d)
+    top = t["nodes"].filter("level = 0")
+    alike = top.groupBy("human_readable_id").agg(F.count("*").alias("n_numbers"))
+    own = top.join(alike, "human_readable_id").groupBy("title").agg(F.count("*").alias("n_rows"), F.max(F.col("degree").cast("long")).alias("degree"), F.max("n_numbers").alias("n_numbers"))
+    ents = t["entities"].groupBy(F.col("name").alias("title")).agg(F.count("*").alias("n_entities"), F.max(F.size("text_unit_ids").cast("long")).alias("n_units"))
+    return own.join(ents, "title", "full").select("title", "degree", "n_units", "n_rows", "n_entities", "n_numbers")

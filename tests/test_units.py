@@ -147,7 +147,7 @@ def test_search_end_to_end(spark, tmp_path):
     made = index.build_index(docs, store)
     assert made["final_text_units"].count() == 4 and made["documents"].filter("size(text_unit_ids) = 1").count() == 4
     assert store.has("nodes") and made["communities"].count() > 0
-    rep = made["community_reports"].select("community", F.col("community").alias("title"), F.col("report").alias("content"), F.lit(1.0).alias("rank"))
+    rep = made["community_reports"].select("community", "title", F.col("full_content").alias("content"), "rank")
     model = models.Canned({"JSON": '{"points":[{"description":"p","score":7}]}', "Combine": "done", "Answer from the tables": "local"})
     assert search.global_search("what?", rep, model).answer == "done"
     ents = models.embed(made["entities"].withColumn("text", F.col("name")), lambda ts: [models.hashing_embedder(t) for t in ts]).withColumnsRenamed({"name": "title", "embedding": "vector"})
@@ -306,7 +306,7 @@ def test_index_with_claims_embeddings_and_update(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one", "Alpha meets Beta here. Alpha knows Gamma."), (2, "two", "Beta meets Delta there.")], "id long, title string, text string")
     client = models.Canned({"List claims": "(ALPHA<|>BETA<|>MET<|>TRUE<|>NONE<|>NONE<|>they met)", "List entities": '("entity"<|>Alpha<|>PERSON<|>a)\n##\n("entity"<|>Beta<|>PERSON<|>b)\n##\n("relationship"<|>Alpha<|>Beta<|>met<|>2)', "Write a report": '{"title": "T", "summary": "S", "rating": 3, "findings": [],}'}, "x")
     seen = index.Statistics()
-    config = index.Config(client=client, claims="meetings", embedder=lambda ts: [models.hashing_embedder(t) for t in ts], callbacks=(seen,))
+    config = index.Config(client=client, claims="meetings", gleanings=0, embedder=lambda ts: [models.hashing_embedder(t) for t in ts], callbacks=(seen,))
     store = tables.TableStore(spark, str(tmp_path))
     t = index.build_index(docs.filter("id = 1"), store, config)
     c = t["covariates"].collect()
@@ -314,6 +314,11 @@ def test_index_with_claims_embeddings_and_update(spark, tmp_path):
     assert len(t["entities"].first().vector) == 64 and t["community_reports"].count() > 0 and len(t["community_reports"].first().full_content_embedding) == 64
     assert set(seen.tables) == set(index.STEPS)
     seen.write(store)
+    r = t["community_reports"].first()
+    assert (r.title, r.summary, r.rank, r.findings) == ("T", "S", 3.0, []) and r.full_content.startswith("# T") and '"rating":"3"' in r.full_content_json
+    from grafloom.operators import readers
+
+    assert readers.reports(t, 0, min_rank=3).count() > 0 and readers.reports(t, 0, min_rank=4).count() == 0
     found = search.local_engine(t, models.hashing_embedder, lambda p: p)("Alpha meets")
     assert "-----Claims-----" in found.context and "they met" in found.context
     assert search.global_engine(t, models.Canned({"Answer from the reports": '{"points": [{"description": "d", "score": 5}]}'}, "done"))("q").answer == "done"
@@ -323,3 +328,68 @@ def test_index_with_claims_embeddings_and_update(spark, tmp_path):
     assert set(both) == {"ALPHA", "BETA"} and len(both["ALPHA"].text_unit_ids) == 2
     assert merged["relationships"].first().weight == 2 * t["relationships"].first().weight
     assert all(set(r.entity_ids) == {both["ALPHA"].id, both["BETA"].id} for r in merged["final_text_units"].collect())
+    assert merged["nodes"].groupBy("level", "title").count().filter("count > 1").count() == 0 and merged["community_reports"].groupBy("community").count().filter("count > 1").count() == 0
+    assert [r.human_readable_id for r in merged["covariates"].orderBy("human_readable_id").collect()] == ["1", "2"]
+
+
+def counting(folder, answers):
+    """A client that leaves a file for each call."""
+    folder, client = str(folder), models.Canned(answers, "x")
+
+    def call(prompt):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return client(prompt)
+
+    return call
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_each_prompt_is_asked_once(spark, tmp_path, kept):
+    docs = spark.createDataFrame([(i, f"t{i}", f"Text number {i}.") for i in range(6)], "id long, title string, text string")
+    (tmp_path / "calls").mkdir()
+    calls = lambda: len(list((tmp_path / "calls").iterdir()))
+    entity = '("entity"<|>Alpha<|>PERSON<|>a)\n##\n("relationship"<|>Alpha<|>Beta<|>met<|>2)'
+    client = counting(tmp_path / "calls", {"List entities": entity, "List claims": "(A<|>B<|>C)", "Write a report": '{"title": "T", "rating": 1, "findings": []}'})
+    store = tables.TableStore(spark, str(tmp_path / "index") if kept else None)
+    t = index.build_index(docs, store, index.Config(client=client, claims="any"))
+    for df in t.values():
+        df.count()
+    n = t["community_reports"].count()
+    # units and claims are asked twice each, as one gleaning is set, and communities once
+    assert calls() == 6 * 2 + 6 * 2 + n and n > 0
+    assert t["entities"].count() == 2
+    more = docs.unionAll(spark.createDataFrame([(9, "t9", "Text number 9.")], docs.schema))
+    before = calls()
+    merged = index.update_index(more, store, index.Config(client=client, claims="any"))
+    for df in merged.values():
+        df.count()
+    assert calls() == before + 2 + 2 + merged["community_reports"].count()
+
+
+def test_answers_are_kept_in_a_cache(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    client = counting(tmp_path / "calls", {})
+    kept = tables.cache(spark, str(tmp_path / "cache"))
+    rows = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q")], "id int, prompt string")
+    for _ in range(2):
+        assert models.ask(rows, "prompt", "answer", client, kept).filter("answer = 'x'").count() == 3
+    assert len(list((tmp_path / "calls").iterdir())) == 2
+
+
+def test_communities_far_from_a_change_stay(spark):
+    block = lambda k: [(f"{k}{i}", f"{k}{j}", 1.0) for i in range(6) for j in range(i)]
+    edge = "source string, target string, weight double"
+    chain = [("a0", "b0", 1.0), ("b1", "c0", 1.0)]
+    before = spark.createDataFrame([*block("a"), *block("b"), *block("c"), *chain], edge)
+    nodes = communities.hierarchical_leiden(before).select("level", "title", "community")
+    after = before.unionAll(spark.createDataFrame([("c1", "d0", 1.0), ("d0", "d1", 1.0), ("d1", "d2", 1.0), ("d0", "d2", 1.0), ("c2", "c1", 1.0)], edge))
+    got, opened = incremental.update_communities(nodes, before, after)
+    assert {r.title[0] for r in opened.collect()} == {"c", "d"}
+    old = {(r.level, r.title): r.community for r in nodes.collect()}
+    new = {(r.level, r.title): r.community for r in got.collect()}
+    assert all(new[k] == v for k, v in old.items() if k[1][0] in "ab") and {k[1] for k in new if k[0] == 0} == {f"{k}{i}" for k in "abc" for i in range(6)} | {"d0", "d1", "d2"}
+    assert new[0, "d1"] == new[0, "d2"] != new[0, "c3"]
+    rows = communities.invariants(after, got.withColumn("parent", F.when(F.col("level") > 0, F.lit("?")))).collect()
+    assert all(r.once and r.small and r.connected for r in rows)
