@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from grafloom.functions import parsers, repair
-from grafloom.operators import graph, readers, relational, reports, retrieval, selection
+from grafloom.operators import graph, readers, relational, reports, retrieval, selection, tagging
 from grafloom.plans import index
-from grafloom.plans.catalogue import _DEGREE, _EDGES, _RANKED, _UNITS, OVERLAP, SIZE, edges, query, table
+from grafloom.plans.catalogue import _DEGREE, _EDGES, _RANKED, _UNITS, OVERLAP, SIZE, edges, query, table, units
 from grafloom.sources.tables import TableStore
 from grafloom.streaming import incremental
 
@@ -194,3 +194,13 @@ def update_nodes(spark, d):
     own = top.join(alike, "human_readable_id").groupBy("title").agg(F.count("*").alias("n_rows"), F.max(F.col("degree").cast("long")).alias("degree"), F.max("n_numbers").alias("n_numbers"))
     ents = t["entities"].groupBy(F.col("name").alias("title")).agg(F.count("*").alias("n_entities"), F.max(F.size("text_unit_ids").cast("long")).alias("n_units"))
     return own.join(ents, "title", "full").select("title", "degree", "n_units", "n_rows", "n_entities", "n_numbers")
+
+
+@query(f"""WITH {_UNITS}, names AS (SELECT DISTINCT lower(n) AS name, left(n, 1) AS type FROM (SELECT regexp_extract(text, '[A-Z][a-z]{{3,}}') AS n FROM documents) WHERE n <> ''),
+w AS (SELECT DISTINCT unit, unnest(regexp_extract_all(chunk, '[\\p{{L}}\\p{{N}}]+(?:[''’.&-][\\p{{L}}\\p{{N}}]+)*')) AS w FROM units)
+SELECT DISTINCT unit, upper(w) AS title, type FROM w JOIN names ON lower(w) = name""")
+def known_entities(spark, d):
+    """Units' mentions of known names: the first capitalised word of each document, typed by its letter."""
+    first = F.regexp_extract("text", graph.ENTITY, 0)
+    names = table(spark, d, "documents").select(first.alias("name")).filter("name <> ''").distinct().withColumn("type", F.substring("name", 1, 1))
+    return tagging.entities(units(spark, d), names=names, unit="unit")
