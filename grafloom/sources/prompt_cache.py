@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from grafloom.sources.versions import Versions
+
 
 def with_nodes(prompts: DataFrame, chosen: DataFrame) -> DataFrame:
     """Prompts with their sorted nodes; none gives an empty array."""
@@ -34,3 +36,14 @@ def save(prompts_path: str, nodes_path: str, prompts: DataFrame, chosen: DataFra
     """Append answers and their nodes; nodes first, so that a broken write leaves no answer without its nodes."""
     chosen.write.mode("append").parquet(nodes_path)
     prompts.write.mode("append").parquet(prompts_path)
+
+
+def commit(versions: Versions, prompts: DataFrame, chosen: DataFrame) -> int:
+    """Append answers and their nodes in one step: no reader sees the one without the other."""
+    return versions.commit(appended={"prompt_histories": prompts, "prompt_selected_nodes": chosen})
+
+
+def committed(versions: Versions) -> tuple[DataFrame, DataFrame]:
+    """(prompts, nodes) of one version."""
+    pinned = versions.manifest()
+    return versions.read("prompt_histories", pinned), versions.read("prompt_selected_nodes", pinned)
