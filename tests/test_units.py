@@ -393,3 +393,21 @@ def test_communities_far_from_a_change_stay(spark):
     assert new[0, "d1"] == new[0, "d2"] != new[0, "c3"]
     rows = communities.invariants(after, got.withColumn("parent", F.when(F.col("level") > 0, F.lit("?")))).collect()
     assert all(r.once and r.small and r.connected for r in rows)
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 50])
+def test_batches_in_blocks_are_those_of_the_fold(spark, block):
+    import random
+
+    r = random.Random(block)
+    rows = [(k, i * 3, r.choice(sizes)) for k, sizes in (("a", [0, 1, 2, 5]), ("b", [0, 0, 0, 9, 30]), ("c", [1]), ("d", [0]), (None, [3, 4]), ("e", [11, 25, 1])) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, i long, s long").repartition(5)
+    for budget in (1, 10, 24):
+        want, at = {}, {}
+        for k, i, s in rows:
+            batch, used = at.get(k, (0, 0))
+            if used > 0 and used + s > budget:
+                batch, used = batch + 1, 0
+            at[k] = (batch, used + s)
+            want[k, i] = batch
+        assert {(x.by, x.id): x.batch for x in context.batches(df, "k", "i", F.col("s"), budget, block).collect()} == want
