@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 #: A token is a run of characters other than ASCII white space.
@@ -118,6 +118,17 @@ def date_parts(ts: Column) -> dict[str, Column]:
     return {"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts), "minute": F.minute(ts), "second": F.second(ts)}
 
 
+def _fenceless(answer: Column) -> Column:
+    return F.regexp_replace(strip(F.regexp_replace(answer, "`", "")), "^json\\s*", "")
+
+
+def _read_points(body: Column) -> Column:
+    read = F.from_json(body, "points array<struct<description: string, score: string>>")["points"]
+    scored = F.transform(read, lambda p: F.struct(F.coalesce(p["description"], F.lit("")).alias("description"), F.coalesce(p["score"].try_cast("double").cast("int"), F.lit(0)).alias("score")))
+    none = F.array(F.struct(F.lit("").alias("description"), F.lit(0).alias("score")))
+    return F.coalesce(F.when(F.size(scored) > 0, scored), none)
+
+
 def points(answer: Column | str) -> Column:
     """The points (description, score) of a model's JSON answer; one point of score 0 if it can't be read.
 
@@ -125,12 +136,15 @@ def points(answer: Column | str) -> Column:
     """
     from grafloom.functions import repair
 
-    body = F.regexp_replace(strip(F.regexp_replace(_col(answer), "`", "")), "^json\\s*", "")
-    body = repair.json_object(body)
-    read = F.from_json(body, "points array<struct<description: string, score: string>>")["points"]
-    scored = F.transform(read, lambda p: F.struct(F.coalesce(p["description"], F.lit("")).alias("description"), F.coalesce(p["score"].try_cast("double").cast("int"), F.lit(0)).alias("score")))
-    none = F.array(F.struct(F.lit("").alias("description"), F.lit(0).alias("score")))
-    return F.coalesce(F.when(F.size(scored) > 0, scored), none)
+    return _read_points(repair.json_object(_fenceless(_col(answer))))
+
+
+def with_points(rows: DataFrame, answer: str, to: str = "points") -> DataFrame:
+    """Rows with the points of their answers, as :func:`points` reads them; only answers that need mending leave the JVM."""
+    from grafloom.functions import repair
+
+    own = rows.withColumn("_body", _fenceless(F.col(answer)))
+    return repair.mended(own, "_body").withColumn(to, _read_points(F.col("_body"))).drop("_body")
 
 
 def report_markdown(title: Column, summary: Column, findings: Column) -> Column:

@@ -107,18 +107,22 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.groupBy("title").agg(F.array_sort(F.collect_list("n")).alias("neighbours"), F.count("*").alias("links"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage through a table in the folder that the cluster shares."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the folder that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.gettempdir()}/grafloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table in the folder that the cluster shares."""
+    path = scratch(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(df: DataFrame, order: list[str], to: str) -> DataFrame:

@@ -64,8 +64,9 @@ def global_search(query: str, reports: DataFrame, model: Model, kind: str = "mul
         for f in frames:
             yield pd.DataFrame({"batch": f["batch"], "answer": [model(_MAP.replace("{query}", query).replace("{context}", t)) for t in f["text"]]})
 
-    answers = parts.mapInPandas(ask, "batch long, answer string")
-    points = answers.select("batch", F.posexplode(T.points("answer")).alias("n", "p")).select("batch", "n", "p.*").filter("score > 0")
+    # written, as it is read for the points, their running sizes and the answer
+    answers = graph._written(parts.mapInPandas(ask, "batch long, answer string"))
+    points = T.with_points(answers, "answer").select("batch", F.posexplode("points").alias("n", "p")).select("batch", "n", "p.*").filter("score > 0")
     line = F.concat(F.lit("Analyst "), F.col("batch") + 1, F.lit(" ("), "score", F.lit("): "), "description")
     best = context.greedy_prefix(points.withColumn("line", line), T.token_count("line"), budget, [F.desc("score"), F.col("batch"), F.col("n")])
     text = "\n".join(r.line for r in best.orderBy(F.desc("score"), "batch", "n").select("line").collect())

@@ -362,7 +362,7 @@ def parse_points_json(spark, d):
     """Fenced JSON answers of one point each, parsed back."""
     score = F.floor(F.abs(F.coalesce("value", F.lit(0.0)))).cast("int")
     body = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("description"), score.alias("score"))).alias("points"))), F.lit("\n```"))
-    rows = table(spark, d, "events").select("event_id", F.explode(T.points(body)).alias("p"))
+    rows = T.with_points(table(spark, d, "events").select("event_id", body.alias("answer")), "answer").select("event_id", F.explode("points").alias("p"))
     return rows.select("event_id", "p.description", F.col("p.score").cast("long").alias("score"))
 
 

@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from grafloom.functions import parsers, repair
-from grafloom.operators import graph, readers, relational, reports, retrieval, selection, tagging
+from grafloom.functions import parsers, repair, text as T
+from grafloom.operators import communities, graph, readers, relational, reports, retrieval, selection, tagging
 from grafloom.plans import index
 from grafloom.plans.catalogue import _DEGREE, _EDGES, _RANKED, _UNITS, OVERLAP, SIZE, edges, query, table, units
+from grafloom.sources import tables
 from grafloom.sources.tables import TableStore
+from grafloom.sources.vector_index import VectorIndex
+from grafloom.sources.versions import Versions
 from grafloom.streaming import incremental
 
 _LETTERS = _EDGES + ", b AS (SELECT left(source, 1) AS community, source, target FROM edges UNION SELECT left(target, 1), source, target FROM edges)"
@@ -204,3 +207,97 @@ def known_entities(spark, d):
     first = F.regexp_extract("text", graph.ENTITY, 0)
     names = table(spark, d, "documents").select(first.alias("name")).filter("name <> ''").distinct().withColumn("type", F.substring("name", 1, 1))
     return tagging.entities(units(spark, d), names=names, unit="unit")
+
+
+@query(f"WITH {_DEGREE} SELECT title, true AS connected, true AS dense FROM degree")
+def potts_communities(spark, d):
+    """Constant-Potts communities: edges connect each, and its weight is at least the resolution for each pair of its nodes."""
+    e = graph._written(edges(spark, d))
+    found = graph._written(communities.constant_potts(e, 0.5))
+    own = lambda end: found.select(F.col("title").alias(end), F.col("community").alias(f"{end}_in"))
+    inside = e.join(own("source"), "source").join(own("target"), "target").filter("source_in = target_in")
+    weight = inside.groupBy(F.col("source_in").alias("community")).agg(F.sum("weight").alias("w"))
+    n = found.groupBy("community").agg(F.count("*").alias("n")).join(weight, "community", "left")
+    dense = n.select("community", (F.coalesce("w", F.lit(0.0)) >= 0.5 * F.col("n") * (F.col("n") - 1) / 2).alias("dense"))
+    part = graph.connected_components(inside.select("source", "target"))
+    whole = found.join(part, "title", "left").groupBy("community").agg((F.countDistinct(F.coalesce("component", "title")) == 1).alias("connected"))
+    return found.join(dense, "community").join(whole, "community").select("title", "connected", "dense")
+
+
+@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e FROM v ORDER BY id LIMIT 1)
+SELECT id, round(1 - list_cosine_similarity(v.e, q.e), 6) AS distance FROM v, q ORDER BY 1 - list_cosine_similarity(v.e, q.e), id LIMIT 10""")
+def indexed_vectors(spark, d):
+    """The ten nearest to the first vector by cosine, of an index of the even ids to which the odd ones were added; all its cells are opened."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    made = VectorIndex.build(v.filter("id % 2 = 0"), graph.scratch(spark, "vectors"), "cosine").append(v.filter("id % 2 = 1"))
+    first = v.orderBy("id").first()
+    return made.search(list(first.vector), 10, probes=len(made.centres)).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS name, o_totalprice AS price FROM orders UNION ALL SELECT o_orderkey, 'again', o_totalprice FROM orders WHERE o_orderkey % 5 = 0")
+def committed_tables(spark, d):
+    """A table replaced in one version and added to in the next, read back."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("price"))
+    v = Versions(spark, graph.scratch(spark, "versions"))
+    v.commit({"orders": o.limit(5)})
+    v.commit({"orders": o})
+    v.commit(appended={"orders": o.filter("id % 5 = 0").withColumn("name", F.lit("again"))})
+    return v.read("orders")
+
+
+@query("""SELECT 'parquet' AS kind, c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT 'csv', c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT 'json', c_custkey, c_name, c_acctbal FROM customer""")
+def emitted_tables(spark, d):
+    """Customers through every sink and back."""
+    c, to = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), graph.scratch(spark, "sinks")
+    tables.emit(c, f"{to}/customer", ["parquet", "csv", "json"])
+    kind = "c_custkey long, c_name string, c_acctbal double"
+    read = {"parquet": spark.read.parquet(f"{to}/customer.parquet"), "csv": spark.read.schema(kind).option("header", True).csv(f"{to}/customer.csv"), "json": spark.read.schema(kind).json(f"{to}/customer.json")}
+    parts = [df.select(F.lit(k).alias("kind"), "c_custkey", "c_name", "c_acctbal") for k, df in read.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, n_name AS title, 'nation' AS type, [n_regionkey::VARCHAR] AS community_ids, row_number() OVER (ORDER BY n_nationkey::VARCHAR) - 1 AS short_id, n_regionkey::VARCHAR AS region FROM nation")
+def typed_objects(spark, d):
+    """Nations read as entities, numbered in the order of their ids, with an attribute."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.lit("nation").alias("type"), F.array(F.col("n_regionkey").cast("string")).alias("community_ids"), "n_regionkey")
+    read = readers.read_objects(n, "entity", {"title": "name"}, attributes=["n_regionkey"])
+    return read.select("id", "title", "type", "community_ids", F.col("short_id").cast("long").alias("short_id"), F.col("attributes")["n_regionkey"].alias("region"))
+
+
+@query("""SELECT s_suppkey AS id, s_name AS subject, s_nationkey % 3 = 0 AS chosen FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""")
+def claims_on_nodes(spark, d):
+    """Rows of suppliers whose nation is among the chosen ones."""
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation").filter("n_regionkey = 1")
+    chosen = n.select(F.col("n_nationkey").cast("string").alias("title"))
+    rows = s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("subject_id"), F.col("s_name").alias("subject"), (F.col("s_nationkey") % 3 == 0).alias("chosen"))
+    return selection.candidate_claims(chosen, rows).select("id", "subject", "chosen")
+
+
+@query(f"WITH {_EDGES}, big AS (SELECT title FROM (SELECT source AS title FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1 HAVING count(*) >= 20) SELECT source, target, weight FROM edges WHERE source IN (SELECT title FROM big) AND target IN (SELECT title FROM big)")
+def edges_inside(spark, d):
+    """Edges with both ends among nodes of many edges."""
+    e = graph._written(edges(spark, d))
+    big = graph.degrees(e).filter("degree >= 20").select("title")
+    return relational.edges_inside(e, big).select("source", "target", "weight")
+
+
+@query("""SELECT p.p_partkey, p.p_name, l.n FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_partkey = p_partkey WHERE NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_partkey = p_partkey AND x.l_quantity > 49)""")
+def joined_and_left_out(spark, d):
+    """Parts with the number of their lines, those with a large line left out."""
+    p, li = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name"), table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), "l_quantity")
+    few = relational.antijoin(p, li.filter("l_quantity > 49"), "k")
+    return relational.join(few, li.groupBy("k").agg(F.count("*").alias("n")), "k").select(F.col("k").alias("p_partkey"), "p_name", "n")
+
+
+@query("""SELECT doc_id, md5('doc_id,lang,source' || chr(10) || doc_id || ',' || coalesce(lang, '') || ',' || coalesce(source, '')) AS line FROM documents""")
+def csv_rendering(spark, d):
+    """A row of each document as a small CSV table."""
+    docs = table(spark, d, "documents")
+    line = F.concat(F.lit("doc_id,lang,source\n"), T.csv_line(F.col("doc_id").cast("string"), F.col("lang"), F.col("source")))
+    return docs.select("doc_id", F.md5(line).alias("line"))
+
+
+@query("""SELECT event_id, coalesce(TRY_CAST(props ->> '$.k' AS DOUBLE), -1) AS rank, value IS NULL AS missing FROM events""")
+def rank_and_missing(spark, d):
+    """A rating read from a JSON field, -1 where it is no number, and whether a value is missing."""
+    return table(spark, d, "events").select("event_id", T.rank_value(F.get_json_object("props", "$.k")).alias("rank"), T.null_or_nan(F.col("value")).alias("missing"))
