@@ -347,7 +347,7 @@ def counting(folder, answers):
 
 @pytest.mark.parametrize("kept", [True, False])
 def test_each_prompt_is_asked_once(spark, tmp_path, kept):
-    docs = spark.createDataFrame([(i, f"t{i}", f"Text number {i}.") for i in range(6)], "id long, title string, text string")
+    docs = spark.createDataFrame([(i, f"t{i}", f"Text number {i}.") for i in range(3)], "id long, title string, text string")
     (tmp_path / "calls").mkdir()
     calls = lambda: len(list((tmp_path / "calls").iterdir()))
     entity = '("entity"<|>Alpha<|>PERSON<|>a)\n##\n("relationship"<|>Alpha<|>Beta<|>met<|>2)'
@@ -358,7 +358,7 @@ def test_each_prompt_is_asked_once(spark, tmp_path, kept):
         df.count()
     n = t["community_reports"].count()
     # units and claims are asked twice each, as one gleaning is set, and communities once
-    assert calls() == 6 * 2 + 6 * 2 + n and n > 0
+    assert calls() == 3 * 2 + 3 * 2 + n and n > 0
     assert t["entities"].count() == 2
     more = docs.unionAll(spark.createDataFrame([(9, "t9", "Text number 9.")], docs.schema))
     before = calls()
@@ -411,3 +411,51 @@ def test_batches_in_blocks_are_those_of_the_fold(spark, block):
             at[k] = (batch, used + s)
             want[k, i] = batch
         assert {(x.by, x.id): x.batch for x in context.batches(df, "k", "i", F.col("s"), budget, block).collect()} == want
+
+
+def test_limits_hold_over_all_tasks(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def client(prompt):
+        import time
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(time.time()))
+        return "one two three four"
+
+    rows = spark.range(24).select(F.col("id").cast("string").alias("prompt"))
+    for limit in ({"per_minute": 600}, {"tokens_per_minute": 3000}):  # ten calls a second, of five tokens each
+        limited = models.Limited(client, tasks=3, **limit)
+        answers = models.ask(rows, "prompt", "answer", limited)
+        assert answers.filter("answer = 'one two three four'").count() == 24 and answers.rdd.getNumPartitions() <= 3
+        at = sorted(float(p.read_text()) for p in tmp_path.iterdir())
+        # a task's first call is free; beyond, the whole job keeps to the rate in any window of a second
+        assert len(at) == 24 and all(sum(a <= b < a + 1 for b in at) <= 10 + 3 + 1 for a in at) and at[-1] - at[0] > 1.3
+        for p in list(tmp_path.iterdir()):
+            p.unlink()
+
+
+def test_a_pause_that_the_server_asks_for(monkeypatch):
+    slept, now = [], [100.0]
+    monkeypatch.setattr(models.time, "monotonic", lambda: now[0])
+    monkeypatch.setattr(models.time, "sleep", lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+
+    class Busy(Exception):
+        retry_after = 7
+
+    tries = []
+
+    def client(prompt):
+        tries.append(now[0])
+        if len(tries) == 1:
+            raise Busy
+        return "a b c"
+
+    limited = models.Limited(client, tokens_per_minute=60, pause=0.5)
+    assert limited("p q") == "a b c" and slept[0] == 7 and tries[1] == 107
+    limited("p")
+    # two tokens asked again, three answered: five seconds at one a second
+    assert tries[2] - tries[1] == 5
+    with pytest.raises(Busy):
+        models.Limited(lambda p: (_ for _ in ()).throw(Busy()), retries=0)("p")
