@@ -264,8 +264,8 @@ def predict(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray
     return out, score
 
 
-def predicted(text: Column, model: Model | None) -> Column:
-    """(lang_pred, score) of a text column; no other column travels to the workers."""
+def predicted(text: Column, model: Model | None, once: bool = False) -> Column:
+    """(lang_pred, score) of a text column; no other column travels to the workers. With ``once`` a filter on it doesn't make the plan run it again."""
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -277,7 +277,7 @@ def predicted(text: Column, model: Model | None) -> Column:
                 scores.append(np.clip(s, 0, 1))
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores), pa.float64())], ["lang_pred", "score"])
 
-    return run(text)
+    return (run.asNondeterministic() if once else run)(text)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -117,10 +117,10 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, tokeni
     docs = docs.select("doc_id", "text", "source")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // LARGE), min(3 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // SMALL)))
-    docs = docs.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
+    docs = docs.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("p", F.pmod("h", F.lit(parts)))
     none = F.lit(None)
-    told = _plan(docs, weights).select("p", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "source", "share", "owed")
-    rows = told.unionByName(docs.select("p", F.lit(1).alias("kind"), "doc_id", "text", "source", none.cast("double").alias("share"), none.cast("double").alias("owed")))
+    told = _plan(docs, weights).select("p", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "source", "share", "owed")
+    rows = told.unionByName(docs.select("p", F.lit(1).alias("kind"), "h", "doc_id", "text", "source", none.cast("double").alias("share"), none.cast("double").alias("owed")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens.shared(tokenizer)
@@ -148,7 +148,8 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, tokeni
             packer.finish()
             yield packer.flush()
 
-    return rows.repartitionById(parts, F.col("p").cast("int")).sortWithinPartitions("p", "kind").mapInArrow(run, SCHEMA)
+    # a total order but for rows that are alike: a task that runs again, after a lost executor, cuts the same pieces
+    return rows.repartitionById(parts, F.col("p").cast("int")).sortWithinPartitions("p", "kind", "h", "doc_id", "source").mapInArrow(run, SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

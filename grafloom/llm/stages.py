@@ -6,7 +6,7 @@ stage's own columns stand beside the row, not in it.
 Defined cases: a row without doc_id goes through every stage as a document of its own, last in order;
 rows of one doc_id with equal texts are copies of one document; a null text is empty: it has no letter,
 so that the language stage drops it; of near copies the one with the smallest doc_id stays, of equal
-doc_ids one of them; ties of the other stages are those of their operators; an empty table stays empty;
+doc_ids and texts the row whose other columns come first in the order of their hash; ties of the other stages are those of their operators; an empty table stays empty;
 very long texts go through whole.
 """
 
@@ -24,9 +24,10 @@ MASK = "[secret]"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that have no language, as they hold no letter."""
-    found = language.predicted(F.col("text"), language.train(docs))
-    return docs.filter(found["lang_pred"] != "und")
+    """Write the predicted language into ``lang``, and drop documents that have none, as they hold no letter."""
+    found = language.predicted(F.col("row.text"), language.train(docs), once=True)
+    rows = docs.select(F.struct("*").alias("row")).select("row", found.alias("found")).filter(F.col("found.lang_pred") != "und")
+    return rows.select(*(F.col("found.lang_pred").alias("lang") if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = docs.select(own.alias("key"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")).distinct()
     kept = named.join(groups, F.col("key") == F.col("doc_id")).groupBy("component_id").agg(F.min(F.struct("none", "id", "key")).alias("least")).select(F.col("least.key").alias("key"))
     rows = docs.select(F.struct("*").alias("row"), own.alias("key")).join(kept, "key", "left_semi")
-    return rows.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    # rows of one key differ in other columns at most; which stays must not depend on the order they come in
+    rest = F.xxhash64(F.to_json(F.struct(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")))))
+    return rows.groupBy("key").agg(F.min_by("row", rest).alias("row")).select("row.*")
 
 
 @F.arrow_udf(StringType())

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grafloom.llm import _store, exact_dedup, spelling, vector_codes
+from grafloom.llm import _store, exact_dedup, packing, spelling, stages, vector_codes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None), (2, ""), (3, " \n\x0b "), (4, "one two"), (4, "one two"), (None, "on e\ttwo"), (5, "wort " * 30_000), (6, "wort" * 30_000), (7, "Ünï code"), (8, "Ünïcode"), (9, "one\r two  ")]
@@ -226,3 +226,29 @@ def _all_words(rows):
             h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
             count[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
     return count
+
+
+# what the stages of the pipeline decide
+
+
+def test_language_stage_writes_what_it_finds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pick = docs.filter("doc_id < 400 AND lang IS NOT NULL").limit(300)
+    wrong = docs.filter("lang = 'de' AND n_chars > 200").limit(3).withColumn("lang", F.lit(None).cast("string")).withColumn("doc_id", F.lit(10_000) + F.col("doc_id"))
+    none = spark.createDataFrame([(20_000, "12 34 !!", "en", "s", 8)], DOC)
+    got = {r.doc_id: r.lang for r in stages.identify_language(spark, pick.unionByName(wrong).unionByName(none), "").collect()}
+    # two texts with letters fare by what they say, one without goes
+    assert {v for k, v in got.items() if k >= 10_000} == {"de"} and 20_000 not in got and len(got) > 290
+
+
+def test_rows_of_one_key_stay_whatever_their_order(spark):
+    base = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, base, lang, source, n) for lang in ("a", "b") for source in ("s", None) for n in (1, None)]
+    kept = {repr(stages.drop_near_copies(spark, spark.createDataFrame(x, DOC), "").collect()) for x in (rows, rows[::-1], rows[3:] + rows[:3])}
+    assert len(kept) == 1 and "doc_id=1" in kept.pop()
+
+
+def test_pieces_do_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = [docs.repartition(7, "lang"), docs.orderBy(F.desc("doc_id")), docs.repartition(3)]
+    assert len({repr(sorted(map(tuple, packing.pack(d).collect()))) for d in some}) == 1
