@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from grafloom.functions import text as T
-from grafloom.operators import context, graph, readers, retrieval, selection
+from grafloom.operators import context, entity_budget, graph, readers, retrieval, selection
 
 Model = Callable[[str], str]
 
@@ -75,9 +75,13 @@ def global_search(query: str, reports: DataFrame, model: Model, kind: str = "mul
     return Result(model(_REDUCE.replace("{query}", query).replace("{kind}", kind).replace("{context}", text)), text, {"points": best})
 
 
-def local_search(query: str, tables: dict[str, DataFrame], embed: Callable[[str], list[float]], model: Model, k: int = 10, budget: int = 12000, unit_share: float = 0.5, community_share: float = 0.1, kind: str = "multiple paragraphs") -> Result:
+def local_search(query: str, tables: dict[str, DataFrame], embed: Callable[[str], list[float]], model: Model, k: int = 10, budget: int = 12000, unit_share: float = 0.5, community_share: float = 0.1, kind: str = "multiple paragraphs", size: Callable[..., "F.Column"] = T.token_count, history: str = "") -> Result:
     """Entities near the question, their community reports, relationships and sources, each within its share of the budget.
 
+    What is left of the budget by the shares of sources and reports goes to entities, then to relationships and
+    claims by whole entities. ``size`` counts a text's tokens. ``history`` is text of the conversation so far
+    (``context.conversation_context``), which stands first and whose tokens the budget pays.
+
     ``tables``: entities (id, title, description, rank, vector), relationships (source, target,
     description, weight, rank), mentions (unit, title), units (unit, chunk), and optionally nodes
     (title, level, community) with reports (community, content, rank), and claims (id, subject_id,
@@ -89,9 +93,12 @@ def local_search(query: str, tables: dict[str, DataFrame], embed: Callable[[str]
     sel = sel.select("id", "title", "description", "rank", F.row_number().over(Window.orderBy("order", "id")).alias("ord"))
     parts: list[str] = []
     used: dict[str, DataFrame] = {}
+    if history:
+        parts.append(f"-----Conversation History-----\n{history}")
+        budget = max(0, budget - sel.sparkSession.range(1).select(size(F.lit(parts[0]))).first()[0])
 
     def section(name: str, rows: DataFrame, line: "F.Column", order: list, share: float) -> None:
-        kept = context.greedy_prefix(rows.withColumn("line", line), T.token_count("line"), int(budget * share), order)
+        kept = context.greedy_prefix(rows.withColumn("line", line), size("line"), int(budget * share), order)
         lines = [r.line for r in kept.orderBy(*order).select("line").collect()]
         if lines:
             parts.append(f"-----{name}-----\n" + "\n".join(lines))
@@ -100,14 +107,24 @@ def local_search(query: str, tables: dict[str, DataFrame], embed: Callable[[str]
     if "reports" in tables:
         hits = tables["nodes"].join(sel.select("title"), "title").groupBy("community").agg(F.countDistinct("title").alias("matches"))
         section("Reports", tables["reports"].join(hits, "community"), T.csv_line(F.col("community").cast("string"), F.col("content"), separator="|"), [F.desc("matches"), F.desc("rank"), F.col("community")], community_share)
-    rest = 1 - unit_share - community_share
-    facts = 1 if "claims" in tables else 0
-    section("Entities", sel, T.csv_line(*(F.col(c).cast("string") for c in ("id", "title", "description", "rank")), separator="|"), [F.col("ord")], rest / (2 + 2 * facts))
-    rel = retrieval.select_relationships(tables["relationships"], sel, k)
-    section("Relationships", rel, T.csv_line(*(F.col(c).cast("string") for c in ("source", "target", "description", "weight")), separator="|"), [F.desc(F.col("src_in") & F.col("tgt_in")), F.desc("links"), F.desc("rank"), F.col("source"), F.col("target")], rest / 2)
+    rest = int(budget * (1 - unit_share - community_share))
+    order = [F.col("ord")]
+    row = T.csv_line(*(F.col(c).cast("string") for c in ("id", "title", "description", "rank")), separator="|")
+    section("Entities", sel, row, order, 1 - unit_share - community_share)
+    spent = used["entities"].agg(F.coalesce(F.max("used"), F.lit(0))).first()[0]
+    line = T.csv_line(*(F.col(c).cast("string") for c in ("source", "target", "description", "weight")), separator="|")
+    edges = tables["relationships"].withColumn("line", line).withColumn("size", size("line"))
+    claims = None
     if "claims" in tables:
-        claims = selection.candidate_claims(sel, tables["claims"]).join(sel.select(F.col("title").alias("subject_id"), "ord"), "subject_id")
-        section("Claims", claims, T.csv_line(*(F.col(c).cast("string") for c in ("id", "subject_id", "object_id", "status", "description")), separator="|"), [F.col("ord"), F.col("id")], rest / 4)
+        line = T.csv_line(*(F.col(c).cast("string") for c in ("id", "subject_id", "object_id", "status", "description")), separator="|")
+        claims = tables["claims"].withColumn("line", line).withColumn("size", size("line"))
+    whole = entity_budget.whole_entities(sel.select("title", "ord"), edges, rest, claims, spent, k)
+    for name, rows, by in (("Relationships", whole.relationships, [F.col("out"), F.desc("links"), F.desc("rank"), F.col("source"), F.col("target")]), ("Claims", whole.claims, [F.col("ord"), F.col("id")])):
+        if rows is not None:
+            lines = [r.line for r in rows.orderBy(*by).select("line").collect()]
+            if lines:
+                parts.append(f"-----{name}-----\n" + "\n".join(lines))
+            used[name.lower()] = rows
     near = rank_sources(tables["mentions"], tables.get("unit_edges", tables["mentions"].select("unit", F.col("title").alias("source"), F.col("title").alias("target")).limit(0)), sel.select("title", "ord"))
     section("Sources", near.join(tables["units"], "unit"), T.csv_line(F.col("unit"), F.col("chunk"), separator="|"), [F.col("ord"), F.desc("n_relationships"), F.col("unit")], unit_share)
     text = "\n\n".join(parts)
