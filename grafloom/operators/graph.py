@@ -216,26 +216,6 @@ def zero_layout(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"x": F.lit(0.0), "y": F.lit(0.0), "size": F.col("degree")})
 
 
-def random_walks(spark: SparkSession, edges: DataFrame, walks: int = 10, length: int = 40, seed: int = 1) -> DataFrame:
-    """(walk, path): uniform random walks from every node, one join per step."""
-    near = adjacency(edges)
-    paths = near.select(F.col("title").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")).withColumn("path", F.array("at"))
-    for step in range(1, length):
-        pick = F.get("neighbours", F.pmod(F.xxhash64("path", "walk", F.lit(step), F.lit(seed)), F.size("neighbours")).cast("int"))
-        paths = paths.join(near, F.col("at") == F.col("title")).select("walk", F.concat("path", F.array(pick)).alias("path"), pick.alias("at"))
-        paths = _written(paths) if step % 8 == 0 else paths
-    return paths.select("walk", "path")
-
-
-def node_embeddings(spark: SparkSession, edges: DataFrame, dimensions: int = 64, walks: int = 10, length: int = 40, window: int = 2, iterations: int = 3, seed: int = 1) -> DataFrame:
-    """(title, embedding) from skip-grams over random walks."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    model = Word2Vec(vectorSize=dimensions, windowSize=window, maxIter=iterations, minCount=0, seed=seed, inputCol="path", outputCol="v").fit(random_walks(spark, edges, walks, length, seed))
-    return model.getVectors().select(F.col("word").alias("title"), vector_to_array("vector").alias("embedding"))
-
-
 def pca_layout(embeddings: DataFrame) -> DataFrame:
     """(title, x, y): the two main axes of node embeddings, as a stand-in for a nonlinear layout."""
     from pyspark.ml.feature import PCA

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from grafloom.functions import parsers, repair, text as T
-from grafloom.operators import communities, graph, readers, relational, reports, retrieval, selection, tagging
+from grafloom.operators import communities, entity_budget, graph, readers, relational, reports, retrieval, selection, tagging, walks
 from grafloom.plans import index
 from grafloom.plans.catalogue import _DEGREE, _EDGES, _RANKED, _UNITS, OVERLAP, SIZE, edges, query, table, units
 from grafloom.sources import tables
@@ -51,9 +51,9 @@ def candidate_relationships(spark, d):
     return selection.candidate_relationships(sel, e)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '#0000000')")
+@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), '1')")
 def name_search(spark, d):
-    return selection.name_search(table(spark, d, "customer").select("c_custkey", "c_name"), "\t #0000000 ", "c_name")
+    return selection.name_search(table(spark, d, "nation").select("n_nationkey", "n_name"), "\t 1 ", "n_name")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
@@ -301,3 +301,42 @@ def csv_rendering(spark, d):
 def rank_and_missing(spark, d):
     """A rating read from a JSON field, -1 where it is no number, and whether a value is missing."""
     return table(spark, d, "events").select("event_id", T.rank_value(F.get_json_object("props", "$.k")).alias("rank"), T.null_or_nan(F.col("value")).alias("missing"))
+
+
+_BUDGET = 4000
+
+
+@query(f"""WITH {_RANKED}, sel AS (SELECT title, row_number() OVER (ORDER BY degree DESC, title) AS ord FROM degree ORDER BY ord LIMIT 12),
+met AS (SELECT r.*, s.ord AS so, t.ord AS tn, 2 + length(source) + length(target) AS size FROM ranked r LEFT JOIN sel s ON s.title = source LEFT JOIN sel t ON t.title = target WHERE s.ord IS NOT NULL OR t.ord IS NOT NULL),
+upto AS (SELECT m.*, k AS n, coalesce(so <= k, false) AS si, coalesce(tn <= k, false) AS ti FROM met m, range(1, 13) g(k) WHERE k >= least(coalesce(so, 99), coalesce(tn, 99))),
+lk AS (SELECT n, CASE WHEN si THEN target ELSE source END AS outside, count(DISTINCT CASE WHEN si THEN source ELSE target END) AS links FROM upto WHERE si <> ti GROUP BY 1, 2),
+lv AS (SELECT a.*, links, row_number() OVER (PARTITION BY a.n ORDER BY links DESC, rank DESC, source, target) AS p FROM upto a JOIN lk ON lk.n = a.n AND outside = CASE WHEN si THEN target ELSE source END WHERE si <> ti),
+every AS (SELECT n, source, target, rank, size, 0 AS out, 0 AS links FROM upto WHERE si AND ti UNION ALL SELECT n, source, target, rank, size, 1, links FROM lv WHERE p <= 10 * n),
+run AS (SELECT n, 4 + sum(size) OVER (PARTITION BY n ORDER BY out, links DESC, rank DESC, source, target ROWS UNBOUNDED PRECEDING) AS used FROM every),
+rel AS (SELECT n, coalesce(max(used) FILTER (WHERE used <= {_BUDGET}), 4)::BIGINT AS relationships FROM run GROUP BY 1),
+cl AS (SELECT s.ord, 5 + sum(length(u.unit)) OVER (ORDER BY s.ord, u.unit ROWS UNBOUNDED PRECEDING) AS used FROM sel s JOIN ent u ON u.title = s.title AND u.doc_id % 10 = 0),
+c AS (SELECT k AS n, coalesce((SELECT max(used) FROM cl WHERE ord <= k AND used <= {_BUDGET}), 5)::BIGINT AS claims FROM range(1, 13) g(k)),
+tot AS (SELECT n, coalesce(relationships, 0) AS relationships, claims, coalesce(relationships, 0) + claims + 7 AS total FROM c LEFT JOIN rel USING (n))
+SELECT n, relationships, claims, total, n < coalesce((SELECT min(n) FROM tot WHERE total > {_BUDGET}), 99) AS taken FROM tot""")
+def whole_entity_budget(spark, d):
+    """What the twelve entities of most edges bring, one more at a time, with every tenth document's units as their claims."""
+    e = graph._written(edges(spark, d))
+    degree = graph._written(graph.degrees(e))
+    sel = spark.createDataFrame([(r.title, i + 1) for i, r in enumerate(degree.orderBy(F.desc("degree"), "title").limit(12).collect())], "title string, ord int")
+    rel = graph.combined_degree(e, degree).withColumn("size", F.length("source") + F.length("target") + 2)
+    ents = graph.rule_entities(units(spark, d), "chunk", "unit").select("unit", "title").distinct()
+    claims = ents.filter("cast(substring_index(unit, ':', 1) AS long) % 10 = 0").select(F.col("unit").alias("id"), F.col("title").alias("subject_id"), F.length("unit").alias("size"))
+    found = entity_budget.whole_entities(sel, rel, _BUDGET, claims, 7, 10, 4, 5)
+    return found.totals.select(F.col("n").cast("long").alias("n"), "relationships", "claims", "total", (F.col("n") <= found.taken).alias("taken"))
+
+
+@query(f"WITH {_DEGREE} SELECT title, 2::BIGINT AS walks, 10::BIGINT AS nodes, 8::BIGINT AS steps FROM degree")
+def biased_walks(spark, d):
+    """Two walks of five nodes from every entity, biased to come back; steps counts those that are edges."""
+    e = graph._written(edges(spark, d))
+    paths = graph._written(walks.random_walks(e, 2, 5, 0.5, 2.0))
+    each = paths.select("walk", F.get("path", F.lit(0)).alias("title"), F.size("path").alias("n"), F.explode(F.arrays_zip(F.slice("path", 1, 4).alias("a"), F.slice("path", 2, 4).alias("b"))).alias("s"))
+    pairs = e.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    real = each.select("walk", "title", "n", F.least("s.a", "s.b").alias("a"), F.greatest("s.a", "s.b").alias("b")).join(pairs, ["a", "b"])
+    of_walk = real.groupBy("title", "walk").agg(F.max("n").alias("n"), F.count("*").alias("steps"))
+    return of_walk.groupBy("title").agg(F.count("*").alias("walks"), F.sum("n").alias("nodes"), F.sum("steps").alias("steps"))
