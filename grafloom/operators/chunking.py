@@ -4,31 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from grafloom.functions import text as T
+from grafloom.functions import subword, text as T
 from grafloom.operators import graph
 
 
 def token_windows(toks: Column, size: int, overlap: int) -> Column:
     """Windows (start, n_tokens, chunk) of ``size`` tokens, every ``size - overlap``; the last may lie inside the one before."""
+    spans = token_spans(toks, size, overlap)
+    return F.transform(spans, lambda w: F.struct(w["start"].alias("start"), w["n_tokens"].alias("n_tokens"), F.array_join(w["tokens"], " ").alias("chunk")))
+
+
+def token_spans(toks: Column, size: int, overlap: int) -> Column:
+    """The same windows with their tokens (start, n_tokens, tokens), of whatever kind these are."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than the window")
     n = F.size(toks)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(F.lit(size), n - s).alias("n_tokens"), F.array_join(F.slice(toks, s + 1, size), " ").alias("chunk")))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(F.lit(size), n - s).alias("n_tokens"), F.slice(toks, s + 1, size).alias("tokens")))
 
 
-def base_text_units(documents: DataFrame, size: int = 1200, overlap: int = 100, by: tuple[str, ...] = ("id",)) -> DataFrame:
+def base_text_units(documents: DataFrame, size: int = 1200, overlap: int = 100, by: tuple[str, ...] = ("id",), tokenizer: subword.Tokenizer = subword.WORDS) -> DataFrame:
     """Text units of documents (id, text): grouping columns, document_ids, start, n_tokens, chunk and id.
 
     Documents of a group are one token stream in id order, so a unit may span documents when groups
     are larger than a document. With the default grouping nothing is shuffled. Otherwise running sums
     tell where in its stream a document lies, each gives the units that it overlaps its part of them,
-    and a unit is put together from those: no row holds more than a document or a unit.
+    and a unit is put together from those: no row holds more than a document or a unit. ``tokenizer`` tells what a
+    token is: runs between white space, or subwords.
     """
-    own = documents.select(*dict.fromkeys([*by, "id"]), T.tokens("text").alias("_tokens"))
+    own = documents.select(*dict.fromkeys([*by, "id"]), tokenizer.split("text").alias("_tokens"))
     if tuple(by) == ("id",):
-        rows = own.select("id", F.explode(token_windows(F.col("_tokens"), size, overlap)).alias("w"))
-        units = rows.select("id", F.array(F.col("id").cast("string")).alias("document_ids"), "w.start", "w.n_tokens", "w.chunk")
+        rows = own.select("id", F.explode(token_spans(F.col("_tokens"), size, overlap)).alias("w"))
+        units = rows.select("id", F.array(F.col("id").cast("string")).alias("document_ids"), "w.start", "w.n_tokens", tokenizer.join("w.tokens").alias("chunk"))
     else:
         step = size - overlap
         if not 0 <= overlap < size:
@@ -42,7 +49,7 @@ def base_text_units(documents: DataFrame, size: int = 1200, overlap: int = 100,
         parts = F.sort_array(F.collect_list(F.struct(F.col("_lo").alias("lo"), F.col("id").cast("string").alias("id"), part.alias("tokens"))))
         whole = rows.groupBy(*by, "_k").agg(parts.alias("_parts"))
         toks = F.flatten(F.transform("_parts", lambda p: p["tokens"]))
-        units = whole.select(*by, F.transform("_parts", lambda p: p["id"]).alias("document_ids"), (F.col("_k") * step).cast("int").alias("start"), F.size(toks).alias("n_tokens"), F.array_join(toks, " ").alias("chunk"))
+        units = whole.select(*by, F.transform("_parts", lambda p: p["id"]).alias("document_ids"), (F.col("_k") * step).cast("int").alias("start"), F.size(toks).alias("n_tokens"), tokenizer.join(toks).alias("chunk"))
     key = T.row_hash(F.concat_ws(",", F.array_sort("document_ids")), F.col("chunk"), F.col("n_tokens"))
     return units.withColumn("chunk_id", key).withColumnRenamed("id", "group_id").withColumn("id", F.col("chunk_id")) if "id" in by else units.withColumn("chunk_id", key).withColumn("id", key)
 

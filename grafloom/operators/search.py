@@ -45,20 +45,20 @@ def in_context(candidates: DataFrame, used: DataFrame, key: str) -> DataFrame:
     return candidates.join(u, candidates[key] == u["_k"], "left").withColumn("in_context", F.col("_k").isNotNull()).drop("_k")
 
 
-def global_context(reports: DataFrame, weights: DataFrame | None = None, budget: int = 12000, min_rank: float = 0) -> DataFrame:
+def global_context(reports: DataFrame, weights: DataFrame | None = None, budget: int = 12000, min_rank: float = 0, size: Callable[..., "F.Column"] = T.token_count) -> DataFrame:
     """(batch, text): reports (community, title, content, rank) of enough rank, in seeded order, cut at the budget."""
     rows = reports.filter(F.col("rank").isNotNull() & (F.col("rank") >= min_rank))
     rows = rows.join(weights, "community", "left") if weights is not None else rows.withColumn("weight", F.lit(0.0))
     rows = rows.withColumn("line", T.csv_line(*(F.col(c).cast("string") for c in ("community", "title", "weight", "content", "rank")), separator="|"))
     rows = graph.number_rows(rows.withColumn("_h", F.xxhash64("community", F.lit(86))), ["_h", "community"], "_o").withColumn("_all", F.lit(0)).drop("_h")
-    cut = context.batches(rows, "_all", "_o", T.token_count("line"), budget).select(F.col("id").alias("_o"), "batch")
+    cut = context.batches(rows, "_all", "_o", size("line"), budget).select(F.col("id").alias("_o"), "batch")
     order = F.struct((-F.coalesce("weight", F.lit(0.0))).alias("w"), (-F.col("rank").cast("double")).alias("r"), "community", "line")
     return rows.join(cut, "_o").groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), "\n").alias("text"))
 
 
-def global_search(query: str, reports: DataFrame, model: Model, kind: str = "multiple paragraphs", budget: int = 12000, weights: DataFrame | None = None) -> Result:
+def global_search(query: str, reports: DataFrame, model: Model, kind: str = "multiple paragraphs", budget: int = 12000, weights: DataFrame | None = None, size: Callable[..., "F.Column"] = T.token_count) -> Result:
     """Ask the model about every batch on the executors, keep points of positive score within the budget, and reduce them in one call that holds the question."""
-    parts = global_context(reports, weights, budget)
+    parts = global_context(reports, weights, budget, size=size)
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -68,7 +68,7 @@ def global_search(query: str, reports: DataFrame, model: Model, kind: str = "mul
     answers = graph._written(parts.mapInPandas(ask, "batch long, answer string"))
     points = T.with_points(answers, "answer").select("batch", F.posexplode("points").alias("n", "p")).select("batch", "n", "p.*").filter("score > 0")
     line = F.concat(F.lit("Analyst "), F.col("batch") + 1, F.lit(" ("), "score", F.lit("): "), "description")
-    best = context.greedy_prefix(points.withColumn("line", line), T.token_count("line"), budget, [F.desc("score"), F.col("batch"), F.col("n")])
+    best = context.greedy_prefix(points.withColumn("line", line), size("line"), budget, [F.desc("score"), F.col("batch"), F.col("n")])
     text = "\n".join(r.line for r in best.orderBy(F.desc("score"), "batch", "n").select("line").collect())
     if not text:
         return Result(NO_DATA, "", {"points": points})

@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from grafloom.functions import parsers, repair, text as T
-from grafloom.operators import communities, entity_budget, graph, readers, relational, reports, retrieval, selection, tagging, walks
+from grafloom.functions import parsers, repair, subword, text as T
+from grafloom.operators import chunking, communities, entity_budget, graph, readers, relational, reports, retrieval, selection, tagging, walks
 from grafloom.plans import index
 from grafloom.plans.catalogue import _DEGREE, _EDGES, _RANKED, _UNITS, OVERLAP, SIZE, edges, query, table, units
 from grafloom.sources import tables
@@ -340,3 +340,21 @@ def biased_walks(spark, d):
     real = each.select("walk", "title", "n", F.least("s.a", "s.b").alias("a"), F.greatest("s.a", "s.b").alias("b")).join(pairs, ["a", "b"])
     of_walk = real.groupBy("title", "walk").agg(F.max("n").alias("n"), F.count("*").alias("steps"))
     return of_walk.groupBy("title").agg(F.count("*").alias("walks"), F.sum("n").alias("nodes"), F.sum("steps").alias("steps"))
+
+
+#: A public rank table of byte pairs.
+RANKS = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("""SELECT doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(text, '') <> '' AS some, true AS covered FROM documents""")
+def subword_units(spark, d):
+    """Documents put together again from windows of 200 byte-pair tokens; every token is in one window, all but the last full."""
+    by = subword.Subwords.from_file(spark, RANKS)
+    docs = table(spark, d, "documents").select("doc_id", by.split("text").alias("ids"))
+    spans = docs.select("doc_id", F.explode_outer(chunking.token_spans(F.col("ids"), 200, 0)).alias("w")).select("doc_id", "w.*")
+    # whole tokens are joined, as a window's end may cut a character
+    rows = F.array_sort(F.collect_list(F.struct("start", "n_tokens", "tokens")))
+    whole = spans.groupBy("doc_id").agg(rows.alias("w"), F.sum("n_tokens").alias("n"))
+    ids, last = F.flatten(F.transform("w", lambda x: x["tokens"])), F.element_at("w", -1)
+    whole = whole.select("doc_id", F.coalesce(ids, F.array().cast("array<int>")).alias("ids"), "n", (last["start"] + last["n_tokens"]).alias("end"))
+    return whole.select("doc_id", F.md5(by.join("ids")).alias("text_md5"), (F.size("ids") > 0).alias("some"), (F.coalesce("n", F.lit(0)) == F.coalesce("end", F.lit(0))).alias("covered"))
