@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from grafloom.functions import parsers, repair, subword, text as T
-from grafloom.operators import chunking, communities, entity_budget, graph, readers, relational, reports, retrieval, selection, tagging, walks
+from grafloom.operators import chunking, communities, entity_budget, graph, manifold, readers, relational, reports, retrieval, selection, tagging, walks
 from grafloom.plans import index
 from grafloom.plans.catalogue import _DEGREE, _EDGES, _RANKED, _UNITS, OVERLAP, SIZE, edges, query, table, units
 from grafloom.sources import tables
@@ -358,3 +358,12 @@ def subword_units(spark, d):
     ids, last = F.flatten(F.transform("w", lambda x: x["tokens"])), F.element_at("w", -1)
     whole = whole.select("doc_id", F.coalesce(ids, F.array().cast("array<int>")).alias("ids"), "n", (last["start"] + last["n_tokens"]).alias("end"))
     return whole.select("doc_id", F.md5(by.join("ids")).alias("text_md5"), (F.size("ids") > 0).alias("some"), (F.coalesce("n", F.lit(0)) == F.coalesce("end", F.lit(0))).alias("covered"))
+
+
+@query("SELECT vec_id, true AS placed FROM embeddings")
+def nonlinear_places(spark, d):
+    """Every vector's place in two dimensions; SQL tells that each has one."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("title"), "embedding")
+    at = manifold.nonlinear_layout(e, iterations=10)
+    real = F.coalesce(~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < 1e6) & (F.abs("y") < 1e6), F.lit(False))
+    return at.select(F.col("title").cast("long").alias("vec_id"), real.alias("placed"))
