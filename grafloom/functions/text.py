@@ -44,6 +44,13 @@ def stable_id(*columns: Column | str, seed: int = 0) -> Column:
     return F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *(F.coalesce(_col(c).cast("string"), F.lit("")) for c in columns)))
 
 
+def uuid4_hex(*columns: Column | str, seed: int = 0) -> Column:
+    """:func:`stable_id` in the form of a random UUID (version 4, its variant's bits) without dashes."""
+    h = stable_id(*columns, seed=seed)
+    variant = F.substring(F.lit("89ab89ab89ab89ab"), F.instr(F.lit("0123456789abcdef"), F.substring(h, 17, 1)), F.lit(1))
+    return F.concat(F.substring(h, 1, 12), F.lit("4"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
+
+
 def strip(text: Column | str) -> Column:
     """Drop white space of every kind from both ends; SQL's own trim drops spaces only."""
     return F.regexp_replace(_col(text), _EDGES, "")

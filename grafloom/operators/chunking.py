@@ -54,6 +54,29 @@ def base_text_units(documents: DataFrame, size: int = 1200, overlap: int = 100,
     return units.withColumn("chunk_id", key).withColumnRenamed("id", "group_id").withColumn("id", F.col("chunk_id")) if "id" in by else units.withColumn("chunk_id", key).withColumn("id", key)
 
 
+def split_text(text: Column | str, size: int, overlap: int, tokenizer: subword.Tokenizer = subword.WORDS) -> Column:
+    """The windows of one text as an array of texts; null and the empty text have none."""
+    return F.transform(token_spans(tokenizer.split(text), size, overlap), lambda w: tokenizer.join(w["tokens"]))
+
+
+def split_list(texts: str, size: int, overlap: int) -> Column:
+    """The windows of a column's list of texts, which are put together with spaces first; null items are left out."""
+    return split_text(F.coalesce(F.array_join(texts, " "), F.lit("")), size, overlap)
+
+
+def text_units(documents: DataFrame, strategy: str = "tokens", size: int = 1200, overlap: int = 100, tokenizer: subword.Tokenizer = subword.WORDS) -> DataFrame:
+    """(id, text, n_tokens, document_ids) of documents (id, text) by windows of ``tokens`` or by ``sentence``.
+
+    Sentences have no number of tokens; equal sentences of a document share an id.
+    """
+    if strategy == "tokens":
+        return base_text_units(documents, size, overlap, tokenizer=tokenizer).select("id", F.col("chunk").alias("text"), "n_tokens", "document_ids")
+    if strategy != "sentence":
+        raise ValueError(f"unknown strategy: {strategy}")
+    rows = sentence_units(documents).withColumn("document_ids", F.array(F.col("id").cast("string")))
+    return rows.select(T.row_hash("id", "chunk").alias("id"), F.col("chunk").alias("text"), "n_tokens", "document_ids").dropDuplicates(["id"])
+
+
 def sentence_units(documents: DataFrame) -> DataFrame:
     """A row per sentence of (id, text); n_tokens is null in this mode."""
     parts = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from grafloom.functions import text as T
+
 #: A capitalised word of four letters or more stands for an entity.
 ENTITY = r"[A-Z][a-z]{3,}"
 
@@ -212,6 +214,16 @@ def clustered_nodes(nodes: DataFrame, communities: DataFrame, edges: DataFrame,
     return out.withColumns({"level": F.coalesce("level", F.lit(0)), "degree": F.coalesce("degree", F.lit(0)).cast("int")})
 
 
+def clustered_edges(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """Edges once for each level of (level, ...) communities, with level, a number that is dense in the order of ends, and an id of its own.
+
+    Levels are as many as the hierarchy is deep; without any there is level 0.
+    """
+    deepest = communities.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+    rows = number_rows(edges, ["source", "target"], "human_readable_id").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
+    return rows.withColumn("id", T.uuid4_hex("source", "target", "level"))
+
+
 def zero_layout(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"x": F.lit(0.0), "y": F.lit(0.0), "size": F.col("degree")})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from grafloom.operators import graph
-from grafloom.operators.relational import read_typed
+from grafloom.operators.relational import distinct_keep_first, read_typed
 
 # The columns of each object with their types; a name that ends in "?" may be missing.
 OBJECTS: dict[str, dict[str, str]] = {
@@ -43,9 +43,11 @@ def deepest(nodes: DataFrame, level: int | None = None) -> DataFrame:
 
 
 def entities(tables: dict[str, DataFrame], level: int = 0) -> DataFrame:
-    """Entities of a built index with the deepest community of their title up to a level."""
+    """Entities of a built index that are nodes up to a level, with the deepest community of their title there; of a repeated name the least id stays."""
     own = deepest(tables["nodes"], level).select("title", F.array(F.col("community").cast("string")).alias("community_ids"))
-    rows = tables["entities"].withColumnRenamed("name", "title").join(own, "title", "left")
+    there = tables["nodes"].filter(F.col("level") <= level).select("title").distinct()
+    rows = distinct_keep_first(tables["entities"].withColumnRenamed("name", "title"), ["title"], [F.col("id")])
+    rows = rows.join(there, "title", "left_semi").join(own, "title", "left")
     return read_objects(rows, "entity", short_id="human_readable_id")
 
 

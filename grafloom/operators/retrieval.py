@@ -18,13 +18,15 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", include: list | None = None) -> DataFrame:
-    """The ``k`` rows (id, vector) nearest to one vector, with score 1 - distance; ids may be restricted first.
+def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", include: DataFrame | list | None = None) -> DataFrame:
+    """The ``k`` rows (id, vector) nearest to one vector, with score 1 - distance; ids may be restricted first, by a list (an empty one restricts nothing) or a table (id).
 
     Planned as a bounded top-k per partition and one merge.
     """
     rows = vectors.filter(F.col("vector").isNotNull())
-    if include is not None:
+    if isinstance(include, DataFrame):
+        rows = rows.join(include.select("id").distinct(), "id", "left_semi")
+    elif include:
         rows = rows.filter(F.col("id").isin(include))
     q = F.array(*(F.lit(float(x)) for x in query))
     d = squared_distance(F.col("vector").cast("array<double>"), q) if metric == "l2" else 1 - cosine(F.col("vector").cast("array<double>"), q)
@@ -102,6 +104,28 @@ def network_flags(edges: DataFrame, selected: DataFrame, title: str = "title") -
     return out.withColumns({"src_in": F.col("_a").isNotNull(), "tgt_in": F.col("_b").isNotNull()}).drop("_a", "_b")
 
 
+def ranked_relationships(edges: DataFrame, entities: DataFrame, by: str = "rank") -> DataFrame:
+    """Edges with ``order_value``, greatest first (ties: source, target).
+
+    The value is the column or the attribute (a map ``attributes``) named ``by``, as a whole number; ``weight`` as it is,
+    null as 0; or, where edges have neither, the ranks of both ends (title, rank) added, an unknown end or rank being 0.
+    """
+    if by == "weight":
+        return edges.withColumn("order_value", F.coalesce(F.col("weight").cast("double"), F.lit(0.0))).orderBy(F.desc("order_value"), "source", "target")
+    held = None
+    if by in edges.columns:
+        held = F.col(by).try_cast("long")
+    elif dict(edges.dtypes).get("attributes", "").startswith("map") and edges.filter(F.map_contains_key("attributes", by)).limit(1).count():
+        held = F.col("attributes")[by].try_cast("long")
+    if held is not None:
+        return edges.withColumn("order_value", F.coalesce(held, F.lit(0).cast("long")).cast("double")).orderBy(F.desc("order_value"), "source", "target")
+    rank = entities.groupBy("title").agg(F.max("rank").alias("rank"))
+    a, b = (rank.select(F.col("title").alias(f"_{x}"), F.coalesce("rank", F.lit(0)).alias(f"_{x}_rank")) for x in "ab")
+    both = edges.join(a, edges.source == a["_a"], "left").join(b, F.col("target") == b["_b"], "left")
+    value = F.coalesce("_a_rank", F.lit(0)) + F.coalesce("_b_rank", F.lit(0))
+    return both.withColumn("order_value", value.cast("double")).drop("_a", "_b", "_a_rank", "_b_rank").orderBy(F.desc("order_value"), "source", "target")
+
+
 def select_relationships(edges: DataFrame, selected: DataFrame, top_k: int, rank: str = "rank", title: str = "title", most: int | None = None) -> DataFrame:
     """All edges inside the selection, then those that leave it by (links of the outside end, rank), at most top_k for each selected; with at most one such edge no limit.
 

@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from grafloom.plans import catalogue, more_queries  # noqa: F401
+from grafloom.plans import catalogue, edit_queries, more_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
