@@ -129,9 +129,11 @@ def ranked_relationships(edges: DataFrame, entities: DataFrame, by: str = "rank"
 def select_relationships(edges: DataFrame, selected: DataFrame, top_k: int, rank: str = "rank", title: str = "title", most: int | None = None) -> DataFrame:
     """All edges inside the selection, then those that leave it by (links of the outside end, rank), at most top_k for each selected; with at most one such edge no limit.
 
-    ``most``: how many are selected, if known; they are then not counted, and broadcast as they are few.
+    ``most``: how many are selected, if known; more are an error. They are broadcast only if they are at most 10,000.
     """
-    flagged = network_flags(edges, selected if most is None else F.broadcast(selected), title)
+    if most is not None and selected.select(title).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"over {most} are selected")
+    flagged = network_flags(edges, F.broadcast(selected) if most is not None and most <= 10_000 else selected, title)
     inside = flagged.filter("src_in AND tgt_in").withColumn("links", F.lit(0).cast("long"))
     out = flagged.filter("src_in <> tgt_in").withColumn("outside", F.when(F.col("src_in"), F.col("target")).otherwise(F.col("source"))).withColumn("inside", F.when(F.col("src_in"), F.col("source")).otherwise(F.col("target")))
     links = out.groupBy("outside").agg(F.countDistinct("inside").alias("links"))

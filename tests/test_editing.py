@@ -9,7 +9,7 @@ from xml.etree import ElementTree
 import pytest
 
 from grafloom.functions import text as T
-from grafloom.operators import chunking, editing, graph, relational, reports, retrieval
+from grafloom.operators import chunking, context, editing, graph, relational, reports, retrieval
 from grafloom.plans import index
 from grafloom.sources import graph_files, tables
 
@@ -204,3 +204,28 @@ def test_nearest_among_some(spark):
     some = spark.createDataFrame([(4,), (5,), (4,)], "id long")
     of = lambda include: [r.id for r in retrieval.nearest(v, [0.0, 0.0], 3, include=include).collect()]
     assert of(some) == [4, 5] and of([]) == [0, 1, 2] and of([3, 5]) == [3, 5] and of(None) == [0, 1, 2]
+
+
+def _mixed(parts, budget):
+    """The largest give way one by one, all put together again each time."""
+    order, size = sorted(parts, key=lambda p: (-p[2], p[0])), lambda s: len(s.split())
+    for done in range(len(order) + 1):
+        text = "\n\n".join([p[3] for p in order[:done] if p[3]] + [p[1] for p in order[done:] if p[1]])
+        if size(text) <= budget:
+            return text
+    out = []
+    for p in order:
+        if p[3] and size("\n\n".join([*out, p[3]])) <= budget:
+            out.append(p[3])
+    return "\n\n".join(out)
+
+
+def test_mixed_contexts_by_brute_force(spark):
+    r = random.Random(5)
+    words = lambda most: " ".join(r.choice("abc") for _ in range(r.randrange(most)))
+    parts = {f"p{k}": [(f"s{i}", words(12), r.randrange(5), words(7) or None) for i in range(r.randrange(1, 7))] for k in range(60)}
+    df = spark.createDataFrame([(c, *p) for c, ps in parts.items() for p in ps], "community string, id string, context string, size int, report string")
+    for budget in (0, 4, 11, 30):
+        got = {x.community: x.context_string for x in context.mixed_contexts(df, budget).collect()}
+        assert got == {c: _mixed([(i, t, n, p or "") for i, t, n, p in ps], budget) for c, ps in parts.items()}
+    assert context.mixed_contexts(df.limit(0), 4).count() == 0

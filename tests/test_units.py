@@ -111,14 +111,15 @@ def test_hierarchy(spark):
     assert {(r.community, r.sub_community, r.sub_community_size) for r in got} == {("p", "c0", 6), ("p", "c1", 6)}
 
 
-def test_sort_context():
+def test_sort_context(spark):
     nodes = {"A": (0, "first"), "B": (1, None), "C": (2, "c")}
     edges = [("1", "A", "B", "ab", 5), ("2", "B", "C", "bc", 9)]
     whole = context.sort_context(edges, nodes, {"C": [("k", "C", "claim")]}, None)
     assert whole.index("2,B,C") < whole.index("1,A,B") and "0,A,first" in whole and "k,C,claim" in whole
     assert "1,A,B" not in context.sort_context(edges, nodes, {}, 8)
     assert context.sort_context([], nodes, {}, 100) == "" and context.sort_context(edges, nodes, {}, 1) == ""
-    assert context.mixed_context([("a", "x x x", 3, "r"), ("b", "y", 1, "s")], 2) == "r\n\ny"
+    parts = spark.createDataFrame([("p", "a", "x x x", 3, "r"), ("p", "b", "y", 1, "s")], "community string, id string, context string, size int, report string")
+    assert context.mixed_contexts(parts, 2).first().context_string == "r\n\ny"
 
 
 def test_report_loop(spark):
