@@ -85,6 +85,19 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.sqrt(x), row
 
 
+def _encoded(texts: list[str], slice_: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`passages`, with the working memory of about ``slice_`` characters (or one text) at a time."""
+    parts, open_, size, first = [], [], 0, 0
+    for i, t in enumerate(texts):
+        open_.append(t)
+        size += len(t or "")
+        if size >= slice_ or i + 1 == len(texts):
+            x, row = passages(pa.array(open_, pa.string()))
+            parts.append((x, row + first))
+            first, open_, size = i + 1, [], 0
+    return np.concatenate([x for x, _ in parts]), np.concatenate([row for _, row in parts])
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -134,10 +147,12 @@ def fit(high: list[str], low: list[str], epochs: int = 200) -> Model | None:
     """Learn from texts labelled 1 and 0 (Adam); both labels weigh the same."""
     if not high or not low:
         return None
-    x, row = passages(pa.array(high + low, pa.string()))
+    x, row = _encoded(high + low)
     y = np.repeat([1.0, 0.0], [len(high), len(low)])
     mean, scale = x.mean(0), x.std(0) + 0.05
-    x = ((x - mean) / scale).astype(np.float64)
+    x -= mean
+    x /= scale
+    x = x.astype(np.float64)
     p = parameters(FEATURES, np.random.default_rng(5))
     m, q = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     weight = np.where(y > 0, 0.5 / len(high), 0.5 / len(low))

@@ -629,3 +629,10 @@ def test_stage_results(spark, docs):
         assert not [s for s in base_spans(masked[d].text) if s[2] != "hex"]
     mixed = collections.Counter(r.doc_id for r in stages.mix_sources(spark, docs, "").collect())
     assert mixed == {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+
+
+def test_quality_sample_encoded_in_slices():
+    """Texts encoded a slice at a time are those encoded at once."""
+    texts = ["one two, three. " * 200, "", None, "x" * 3000, "Ünï çode", "last one"]
+    at_once, sliced = quality.passages(pa.array(texts, pa.string())), [quality._encoded(texts, n) for n in (1, 2500, 1 << 20)]
+    assert all(np.array_equal(a, b) for s in sliced for a, b in zip(at_once, s, strict=True))
