@@ -460,3 +460,13 @@ def test_a_pause_that_the_server_asks_for(monkeypatch):
     assert tries[2] - tries[1] == 5
     with pytest.raises(Busy):
         models.Limited(lambda p: (_ for _ in ()).throw(Busy()), retries=0)("p")
+
+
+def test_name_search_covers_parts(spark):
+    """The query searches the names of all parts, a table that grows, and finds some but not all."""
+    from grafloom.plans import more_queries
+
+    d = "/root/testdata/sf0.001"
+    parts = [(r.p_partkey, r.p_name) for r in spark.read.parquet(f"{d}/part.parquet").collect()]
+    got = [tuple(r) for r in more_queries.name_search(spark, d).collect()]
+    assert sorted(got) == sorted(r for r in parts if "e" in r[1].lower()) and 100 < len(got) < len(parts)
