@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,9 @@ class Tokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.begin, self.flat, self.used = [0], np.zeros(1 << 16, np.uint32), 0
+        # words' hashes in order, each one's slot, and where a slot's ids begin: arrays, as a dict of so many is ten times as large
+        self.keys, self.slot, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def word(self, w: str) -> list[int]:
         """Ids of a text without ASCII white space; plain words go to the merge model directly."""
@@ -70,24 +72,28 @@ class Tokens:
         start, end, row = _words.words(raw, offs)
         rows = len(offs) - 1
         h, where, back = np.unique(_words.hashes(raw, start, end), return_index=True, return_inverse=True)
-        if len(self.slot) > CACHE:
+        if len(self.keys) > CACHE:
             self._clear()
-        keys = h.tolist()
-        slots = [self.slot.get(k, -1) for k in keys]
-        missing = [i for i, s in enumerate(slots) if s < 0]
-        data, s0, e0 = raw.tobytes(), start[where].tolist(), end[where].tolist()
-        new: list[int] = []
-        for i in missing:
-            got = self.word(data[s0[i] : e0[i]].decode("utf-8", "replace"))
-            slots[i] = self.slot[keys[i]] = len(self.begin) - 1
-            new += got
-            self.begin.append(self.begin[-1] + len(got))
+        at = np.searchsorted(self.keys, h)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == h[known]
+        missing = np.flatnonzero(~known)
+        data, sizes, new = raw.tobytes(), [], array("I")
+        for s, e in zip(start[where[missing]].tolist(), end[where[missing]].tolist(), strict=True):
+            got = self.word(data[s:e].decode("utf-8", "replace"))
+            new.extend(got)
+            sizes.append(len(got))
+        slots = np.empty(len(h), np.int64)
+        slots[known] = self.slot[at[known]]
+        slots[missing] = len(self.begin) - 1 + np.arange(len(missing))
+        self.keys, self.slot = np.insert(self.keys, at[missing], h[missing]), np.insert(self.slot, at[missing], slots[missing])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int64)])
         if self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), 2 * len(new)), np.uint32)])
         self.flat[self.used : self.used + len(new)] = new
         self.used += len(new)
-        begin = np.array(self.begin)
-        slot = np.array(slots, np.int64)[back] if len(h) else np.zeros(0, np.int64)
+        begin = self.begin
+        slot = slots[back] if len(h) else np.zeros(0, np.int64)
         size = begin[slot + 1] - begin[slot]
         per = np.bincount(row, size, minlength=rows).astype(np.int64)
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[slot], size)

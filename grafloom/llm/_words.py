@@ -87,6 +87,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 def release() -> None:
     """Give memory that a task no longer uses back to the system: workers live on between tasks, beside those of other stages."""
+    _POW.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -119,9 +120,10 @@ def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of spans of the bytes; of long texts a piece at a time."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    if len(raw) > 2 * _STEP:
+    if len(raw) > _STEP:
+        # pieces of half a step: with the word that reaches over its end a piece needs no longer tables of powers
         order = np.argsort(start, kind="stable")
-        piece, out = start[order] // _STEP, np.empty(len(start), np.uint64)
+        piece, out = start[order] // (_STEP // 2), np.empty(len(start), np.uint64)
         for of in np.split(order, np.flatnonzero(np.diff(piece)) + 1):
             lo, hi = int(start[of[0]]), int(end[of].max())
             out[of] = _span_hashes(raw[lo:hi], start[of] - lo, end[of] - lo)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
-from grafloom.llm import _store, jaccard, language, mixing, packing, secret_scan
+from grafloom.llm import _store, _words, jaccard, language, mixing, packing, secret_scan
 
 MASK = "[secret]"
 
@@ -46,19 +46,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @F.arrow_udf(StringType())
 def _masked(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, found in parts:
-        out = []
-        for text, spans in zip(texts, found, strict=True):
-            text, spans = text.as_py(), spans.as_py()
-            if text and spans:
-                kept, at = [], 0
-                for span in spans.split(","):
-                    _, start, end = span.split(":")
-                    if int(start) >= at:
-                        kept += [text[at : int(start)], MASK]
-                    at = max(at, int(end))
-                text = "".join(kept) + text[at:]
-            out.append(text)
-        yield pa.array(out, pa.string())
+        done = [pa.array([], pa.string())]
+        for b in _words.slices(iter([pa.record_batch({"text": texts, "found": found})])):
+            out = []
+            for text, spans in zip(b.column("text"), b.column("found"), strict=True):
+                text, spans = text.as_py(), spans.as_py()
+                if text and spans:
+                    kept, at = [], 0
+                    for span in spans.split(","):
+                        _, start, end = span.split(":")
+                        if int(start) >= at:
+                            kept += [text[at : int(start)], MASK]
+                        at = max(at, int(end))
+                    text = "".join(kept) + text[at:]
+                out.append(text)
+            done.append(pa.array(out, pa.string()))
+        yield pa.concat_arrays(done)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -636,3 +636,43 @@ def test_quality_sample_encoded_in_slices():
     texts = ["one two, three. " * 200, "", None, "x" * 3000, "Ünï çode", "last one"]
     at_once, sliced = quality.passages(pa.array(texts, pa.string())), [quality._encoded(texts, n) for n in (1, 2500, 1 << 20)]
     assert all(np.array_equal(a, b) for s in sliced for a, b in zip(at_once, s, strict=True))
+
+
+def test_idle_workers_hold_little():
+    """Scanning and masking take a slice of texts at a time, hashing keeps short tables, and none stay after a task."""
+    texts = ["password = abcdefghijkl " + "wort " * 60_000] * 12 + [None, ""]
+    blobs = pa.record_batch({"blob": pa.array(map(str, range(14))), "text": pa.array([t or "" for t in texts]), "rule_version": pa.array(["1"] * 14)})
+    got = list(secret_scan._scan(iter([blobs])))
+    assert [b.num_rows for b in got] == [3, 3, 3, 5]
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [r["blob"] for r in rows] == blobs.column("blob").to_pylist()
+    assert [r["spans"] for r in rows] == [secret_scan._joined(secret_scan.find_spans(t or "")) for t in texts]
+    raw, offs = _words.buffers(pa.array([" ".join(f"w{i}" for i in range(400_000))]))
+    start, end, _ = _words.words(raw, offs)
+    some = np.arange(0, len(start), 997)
+    assert len(raw) > 2 * _words._STEP
+    for n in (len(raw), 2 * _words._STEP):
+        of = some[end[some] <= n]
+        assert (_words.hashes(raw[:n], start[of], end[of]) == [_words.hashes(raw[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(start[of], end[of], strict=True)]).all()
+        assert len(_words._POW["p"]) == _words._STEP + 1
+    _words.release()
+    assert not _words._POW
+
+
+def test_masked_by_slices(spark):
+    """Rows of a batch of several slices keep their order and texts."""
+    rows = [(i, f"{i} " + "wort " * 60_000 + "password = abcdefghijkl end" * (i % 2), "de", "s", 1) for i in range(12)] + [(12, None, "de", "s", 0), (13, "", "de", "s", 0)]
+    got = {r.doc_id: r.text for r in stages.mask_secrets(spark, spark.createDataFrame(rows, DOC).coalesce(1), "").collect()}
+    assert got == {i: t and t.replace("password = abcdefghijkl", stages.MASK) for i, t, *_ in rows}
+
+
+def test_word_cache_is_arrays(monkeypatch):
+    """Slices that share words, before and after the cache is cleared, give the ids of the library's own encoder."""
+    monkeypatch.setattr(_tokens, "CACHE", 3000)
+    tokens = _tokens.Tokens()
+    for k in range(8):
+        texts = [" ".join(f"w{(i * 37 + k * 401) % 5000} Ünï-{i % 11}," for i in range(n)) for n in (900, 0, 7)]
+        ids, offs = tokens.ids(pa.array([*texts, None]))
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [[*tokens.full.encode(t, add_special_tokens=False).ids, 1] for t in [*texts, ""]]
+        assert (np.diff(tokens.keys.astype(object)) > 0).all() and len(tokens.keys) == len(tokens.slot) == len(tokens.begin) - 1
+        assert tokens.keys.nbytes + tokens.slot.nbytes + tokens.begin.nbytes <= 24 * len(tokens.keys) + 8
