@@ -73,7 +73,9 @@ def save_graphml(nodes: DataFrame, edges: DataFrame, path: str, directed: bool =
 
 def load_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a GraphML document, whoever wrote it, with a typed column for each of its keys; what an element lacks is null, or the key's default."""
-    xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", False).schema(schema).load(path)
+    # Spark's present parser gives up a part of a document, which has no root, at its first element; the one before finds all, but not a file's own encoding
+    parts = sum(f.rsplit("/", 1)[-1].startswith("part-") for f in spark.read.text(path).inputFiles()) > 1
+    xml = lambda tag, schema: spark.read.format("xml").options(rowTag=tag, ignoreSurroundingSpaces=False, useLegacyXMLParser=parts).schema(schema).load(path)
     # a row for each kind of attribute
     keys = xml("key", "_id string, _for string, `_attr.name` string, `_attr.type` string, default string").collect()
     back = {v: k for k, v in TYPES.items()}

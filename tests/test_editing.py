@@ -7,6 +7,7 @@ from pathlib import Path
 from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
 from grafloom.functions import text as T
 from grafloom.operators import chunking, context, editing, graph, relational, reports, retrieval
@@ -117,6 +118,19 @@ def test_graphml_is_a_valid_document_and_comes_back_with_types(spark, tmp_path):
     assert _rows(e) == _rows(edges) and dict(e.dtypes) == dict(edges.dtypes)
 
 
+def test_graphml_of_many_parts_comes_back_whole(spark, tmp_path):
+    nodes = spark.range(300).select(F.concat(F.lit("n"), "id").alias("title"), F.lit("<node>").alias("name"))
+    edges = spark.range(300).select(F.concat(F.lit("n"), "id").alias("source"), F.concat(F.lit("n"), F.col("id") % 7).alias("target"), "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many parts as a larger graph has
+    try:
+        graph_files.save_graphml(nodes, edges, str(tmp_path / "g"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list((tmp_path / "g").glob("part-*"))) > 2
+    n, e = graph_files.load_graphml(spark, str(tmp_path / "g"))
+    assert _rows(n) == _rows(nodes) and _rows(e) == _rows(edges)
+
+
 def test_graphml_of_another_writer(spark, tmp_path):
     (tmp_path / "g.graphml").write_text(
         '<?xml version="1.0"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="d0" for="node" attr.name="label" attr.type="string"><default>none</default></key>'
