@@ -203,6 +203,12 @@ def test_texts_split_and_strategies(spark):
     assert t.count() == 2
 
 
+def test_sentences_that_begin_with_a_digit_are_whole(spark):
+    text = " ".join(f"{i}{i} is {i}." for i in range(30)) + " \xa0Wide.  \xa0!"
+    u = chunking.sentence_units(spark.createDataFrame([(1, text)], "id long, text string"))
+    assert [r.chunk for r in u.orderBy("ordinal").collect()] == [*(f"{i}{i} is {i}." for i in range(30)), "Wide.", "!"]
+
+
 def test_facts_of_nodes_and_levelled_edges(spark):
     nodes = spark.createDataFrame([(0, "x", "a"), (0, "x", "b"), (0, None, "z"), (1, "y", "a"), (0, "x", "lone")], "level int, community string, title string")
     edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "a", "a")], "id string, source string, target string")
