@@ -209,6 +209,16 @@ def test_incremental(spark, tmp_path):
     assert incremental.resume(spark, str(tmp_path / "r"), make).count() == 1 and len(calls) == 1
 
 
+def test_ids_of_a_name_of_many_rows_are_dealt(spark):
+    old = spark.createDataFrame([(i, "A") for i in range(50)] + [(50, "B"), (51, None)], "id long, name string")
+    new = spark.createDataFrame([(i, "A") for i in range(100, 400)] + [(400, "B"), (401, "B"), (402, "C"), (403, None)], "id long, name string")
+    got = incremental.resolved_ids(old, new, block=20).cache()
+    pairs = [tuple(r) for r in got.collect()]
+    assert len(pairs) == 50 * 300 + 2 and set(pairs) == {(i, j) for i in range(100, 400) for j in range(50)} | {(400, 50), (401, 50)}
+    spread = incremental.resolved_ids(old, new, block=20).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in spread) < 0.8 * len(pairs)  # a name is not one task's
+
+
 def test_answers_of_a_record_a_line(spark):
     a = '\n("entity"<|> Ann\n<|>PERSON<|>a)\n##\n\t("entity"<|>Bob<|>PERSON<|>b &amp; c)\r\n##\n("relationship"<|>Ann<|>Bob<|>knows<|>2 )\n##\n<|COMPLETE|>\n'
     ents, rels = parsers.graph_records(spark.createDataFrame([("u", a)], "id string, answer string"), "id")
